@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, simhash, unigram
+from . import bpe, chat, decontaminate, simhash, unigram, urls
 
-MODULES = (decontaminate, unigram, bpe, simhash)
+MODULES = (decontaminate, chat, unigram, bpe, simhash, urls)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
