@@ -93,7 +93,7 @@ def _rows(texts: DataFrame, tokens: Tokens, size: int, gram: int) -> DataFrame:
                 got = [minimisers(tokens(t.as_py()), size, gram) for t in part.column(2)]
                 owner = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
                 h, c, m, first, last = (np.concatenate([g[i] for g in got]) for i in range(5)) if got else minimisers(np.zeros(0, np.uint64), size, gram)
-                keys = part.take(pa.array(owner, pa.int64()))
+                keys = part.select([0, 1]).take(pa.array(owner, pa.int64()))
                 yield pa.RecordBatch.from_arrays([_signed(h), _signed(c), pa.array(place(m, first, last)), keys.column(0), keys.column(1)], names=[f.name for f in schema.fields])
 
     return texts.mapInArrow(run, schema)
@@ -118,7 +118,7 @@ def _windows(texts: DataFrame, tokens: Tokens, size: int) -> DataFrame:
                 if not made:
                     continue
                 h, wh, start, owner = (np.concatenate([x[j] for x in made]) for j in range(4))
-                keys = part.take(pa.array(owner, pa.int64()))
+                keys = part.select([0, 1]).take(pa.array(owner, pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(h), _signed(wh), pa.array(start), keys.column(0), keys.column(1)], names=[f.name for f in schema.fields])
 
     return texts.mapInArrow(run, schema)
