@@ -49,6 +49,8 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 LETTER_COST, NOTHING_COST, BORDER_COST, KEEP_COST = 1.0, 2.5, 3.0, 4.0
 _TRIPLE = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
+#: Stripped from both ends of a token; signs inside it, and dollar and at signs at its ends, may stand for letters.
+_EDGES = ".,;:!?\"'`()[]{}<>*#%&$@|~^_-+=/\\…–—«»„“”"
 _PLAIN = re.compile(r"[^\W\d_]+")
 
 
@@ -140,11 +142,13 @@ class Restorer:
         if token.isalpha() and not _TRIPLE.search(token):
             return {token}
         found = set(_PLAIN.findall(token))
-        core = token.strip(".,;:!?\"'`()[]{}<>*#%&$|~^_-+=/\\…–—«»„“”")
+        core = token.strip(_EDGES)
+        wide = token.strip(_EDGES.replace("$", "").replace("@", ""))
         if core.isalpha() and not _TRIPLE.search(core):
             found.add(core)
-            return found
-        found.update(self.viterbi(core).split())
+            if core == wide:
+                return found
+        found.update(self.viterbi(wide).split())
         return found
 
 
