@@ -38,7 +38,7 @@ THRESHOLD = 0.3
 BITS = 20
 TOP = 3
 SHRINK = 4.0
-MEMO = 500_000
+MEMO = 200_000
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåçéèêëíìîïñóòôöõúùûüýÿœæßø"
 _CLASS = np.full(0x250, 63, dtype=np.int64)
 for _c in range(0x250):
@@ -270,14 +270,17 @@ def score(docs: DataFrame, labels: DataFrame, names: list[str] = ["doc_id"], key
         x = x[np.lexsort(x.T)]
         weights = _fit(x[:, 1:], x[:, 0])
 
-    rows = common.texts(docs, list(dict.fromkeys([*names, key])), text_col)
-    schema = T.StructType([*rows.drop("__text").schema.fields, T.StructField("score", T.DoubleType())])
+    # The text goes along once: as one of the names, or else only into the task.
+    columns = list(dict.fromkeys([*names, key, text_col]))
+    rows = common.pick(docs, columns)
+    at, out = columns.index(text_col), [i for i, n in enumerate(columns) if n in (*names, key)]
+    schema = T.StructType([*(rows.schema.fields[i] for i in out), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value, sent.value[:1])
         for batch in batches:
-            x = np.array([[*scorer.inputs(t.as_py()), 1.0] for t in batch.column(batch.num_columns - 1)]).reshape(-1, TOP + 2)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))], names=[f.name for f in schema.fields])
+            x = np.array([[*scorer.inputs(t.as_py() or ""), 1.0] for t in batch.column(at)]).reshape(-1, TOP + 2)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in out), pa.array(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))], names=[f.name for f in schema.fields])
 
     return rows.mapInArrow(run, schema).select(*names, held_out(key).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -287,11 +290,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", ke
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     k, t = f"c{names.index(key)}", f"c{names.index(text_col)}"
-    # The text is scored as a copy, so that every column passes through as it is.
-    rows = plain.withColumn("__scored", F.col(t))
     label = options.pop("label", "toxic")
     known = common.pick(labels, [key, label]).toDF(k, label)
-    return score(rows, known, plain.columns, k, "__scored", label, **options).where("predicted = 0").select(*plain.columns).toDF(*names)
+    return score(plain, known, plain.columns, k, t, label, **options).where("predicted = 0").select(*plain.columns).toDF(*names)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
