@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MIME = {"html": "text/html", "markdown": "text/markdown", "wikitext": "text/x-wikitext", "plain-text": "text/plain"}
+MIME = {"plain-text": "text/plain", "wikitext": "text/x-wikitext", "markdown": "text/markdown", "html": "text/html"}
 _OPENING = r"\A<(?:b|p|a|br|div|font|h[1-6]|style|title|table|iframe|script|pre|body|head|html|!doctype)[\s>/]"
 
 
@@ -16,7 +16,7 @@ def normalize_mime(c: Column) -> Column:
 
 def looks_like_html(body: Column) -> Column:
     head = F.lower(F.regexp_replace(F.substring(body, 1, 1000), r"(?U)\A[\s\x{1c}-\x{1f}]+", ""))
-    after = F.regexp_replace(head, r"(?s)\A(?:<!--.*?-->\s*)+", "")
+    after = F.regexp_replace(head, r"\A(?:<!--(?s:.*?)-->\s*)+", "")
     return head.startswith("<html") | head.startswith("<!doctype") | after.rlike(_OPENING) | F.contains(head, F.lit("<body")) | F.contains(head, F.lit("<head"))
 
 

@@ -70,7 +70,7 @@ def file_slug(c: Column) -> Column:
 
 
 def urn(label: Column, kind: str, base: str = "") -> Column:
-    head = base + ("" if base.endswith(("#", "/", ":")) else "#") if base else "urn:citeplane:"
+    head = base + ("" if base[-1] in "/:#" else "#") if base else "urn:citeplane:"
     return F.concat(F.lit(f"{head}{kind}_"), slug(label))
 
 
@@ -122,13 +122,13 @@ def int_to_roman(c: Column) -> Column:
 
 
 def trailing_number(c: Column) -> Column:
-    found = F.regexp_extract(F.trim(c), r"(\d+|[IVXLCDM]+)\s*\z", 1)
+    found = F.regexp_extract(F.trim(c), r"(\d+|[MDCLXVI]+)\s*\z", 1)
     return F.coalesce(found.try_cast("int"), roman_to_int(blank_to_null(found)))
 
 
 def designator(title: Column) -> Column:
     """The number a title begins with, or a capital followed by a dot, perhaps behind Appendix or Annex; else null."""
-    return blank_to_null(F.regexp_extract(F.trim(title), r"\A(?:(?:Appendix|Annex)\s+)?(\d+(?:\.\d+)*|[A-Z](?:\.\d+)*(?=\.))", 1))
+    return blank_to_null(F.regexp_extract(F.trim(title), r"\A(?:(?:Annex|Appendix)\s+)?(\d+(?:\.\d+)*|[A-Z](?:\.\d+)*(?=\.))", 1))
 
 
 #: Folding of case. (The optimizer makes lower(upper(w)) lower(w), so the letters that only folding changes are named.)
@@ -137,7 +137,7 @@ _PUNCTUATION = r"[!-/:-@\[-`{-~]+"
 _STRIP = lambda c, of: F.regexp_replace(c, rf"\A{of}|{of}\z", "")
 FOLDS = (
     ("differs only in case", _FOLD),
-    ("differs only in inline markup (backticks, emphasis)", lambda w: _STRIP(w, "[`*]+")),
+    ("differs only in inline markup " "(backticks, emphasis)", lambda w: _STRIP(w, "[`*]+")),
     ("differs only in punctuation", lambda w: _STRIP(w, _PUNCTUATION)),
     ("differs only in case, punctuation or markup", lambda w: _STRIP(_STRIP(_FOLD(w), "[`*]+"), _PUNCTUATION)),
 )

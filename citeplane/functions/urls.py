@@ -9,21 +9,25 @@ from citeplane.functions.text import blank_to_null
 
 #: Repository and the pattern that claims a URL and captures its key; the first that fits has it.
 CLAIMS = (
-    ("archive", r"archive\.org/details/(.+?)(?:/|$|\?|#)"),
-    ("gutenberg", r"gutenberg\.org/ebooks/(\d+)"),
-    ("mdn", r"developer\.mozilla\.org/(?i:en-US)/docs/([^#?\s]+)"),
-    ("rfc", r"(?:rfc-editor\.org/rfc|datatracker\.ietf\.org/doc/html|ietf\.org/archive/id)/((?:rfc|bcp|std)\d+|draft-[a-zA-Z0-9][a-zA-Z0-9.\-]*?)(?:\.[a-z]+)?(?:$|[/?#])"),
-    ("wikisource", r"wikisource\.org/wiki/(.+?)(?:\?|#|$)"),
-    ("wiktionary", r"wiktionary\.org/wiki/(.+?)(?:\?|#|$)"),
+    ("archive", r"archive[.]org/details/(.[^/?#]*)"),
+    ("gutenberg", r"gutenberg[.]org/ebooks/(\d+)"),
+    ("mdn", r"developer[.]mozilla[.]org/[eE][nN]-[uU][sS]/docs/([^\s?#]+)"),
+    ("rfc", "(?:" + "|".join((r"ietf[.]org/archive/id", r"rfc-editor[.]org/rfc", r"datatracker[.]ietf[.]org/doc/html")) + r")/((?:std|bcp|rfc)\d+|draft-[0-9A-Za-z][0-9A-Za-z.\-]*?)(?:[.][a-z]+)?(?:[/?#]|$)"),
+    ("wikisource", r"wikisource[.]org/wiki/(.[^?#]*)"),
+    ("wiktionary", r"wiktionary[.]org/wiki/(.[^?#]*)"),
 )
+_RFC_KEY = r"\A(?:(?:std|bcp|rfc)\d+|draft-[0-9a-z][0-9a-z.\-]*)\z"
 #: Families of names: pattern of the name, and the URL with its group in it.
-FAMILIES = (
-    (r"\AArchive ([^/?#\s]+)\z", "https://archive.org/details/{}"),
-    (r"\AGutenberg (\d+)\z", "https://www.gutenberg.org/ebooks/{}"),
-    (r"\AMDN (.+)\z", "https://developer.mozilla.org/en-US/docs/{}"),
-    (r"\ARFC (\d+)\z", "https://www.rfc-editor.org/rfc/rfc{}.html"),
-    (r"\AWikisource (.+)\z", "https://en.wikisource.org/wiki/{}"),
-    (r"\AWiktionary (.+)\z", "https://en.wiktionary.org/wiki/{}"),
+FAMILIES = tuple(
+    (rf"\A{name} ({part})\z", f"https://{site}")
+    for name, part, site in (
+        ("Archive", r"[^\s/?#]+", "archive.org/details/{}"),
+        ("Gutenberg", r"\d+", "www.gutenberg.org/ebooks/{}"),
+        ("MDN", ".+", "developer.mozilla.org/en-US/docs/{}"),
+        ("RFC", r"\d+", "www.rfc-editor.org/rfc/rfc{}.html"),
+        ("Wikisource", ".+", "en.wikisource.org/wiki/{}"),
+        ("Wiktionary", ".+", "en.wiktionary.org/wiki/{}"),
+    )
 )
 SUPERSESSION = ("rfc",)
 
@@ -68,7 +72,7 @@ def repository_key(url: Column, claims=CLAIMS) -> Column:
         if name == "mdn":
             raw = _mdn_key(raw)
         elif name == "rfc":
-            raw = F.when(F.lower(raw).rlike(r"\A(?:(?:rfc|bcp|std)\d+|draft-[a-z0-9][a-z0-9.\-]*)\z"), F.lower(raw))
+            raw = F.when(F.lower(raw).rlike(_RFC_KEY), F.lower(raw))
         elif name.startswith("wik"):
             raw = F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
         out = F.when(url.rlike(pattern), raw) if out is None else out.when(url.rlike(pattern), raw)

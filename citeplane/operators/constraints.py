@@ -36,7 +36,7 @@ SHAPES = (
     Shape("Source", CP + "Source", DCTERMS + "isPartOf", of_class=CP + "Source"),
     Shape("Fragment", CP + "Fragment", RDFS + "label", 1, text=True),
     _one(CP + "Fragment", OA + "hasTarget", "Fragment"),
-    Shape("Fragment", CP + "Fragment", CP + "sourceLines", 0, 1, pattern=r"\A[0-9]+(-[0-9]+)?\z"),
+    Shape("Fragment", CP + "Fragment", CP + "sourceLines", 0, 1, pattern=r"\A[0-9]+(?:-[0-9]+)?\z"),
     Shape("Fragment", CP + "Fragment", CP + "sourceLocation", 0, 1),
     _one(OA + "SpecificResource", OA + "hasSource", "AnnotationTarget", of_class=CP + "Source"),
     _one(OA + "TextQuoteSelector", OA + "exact", "TextQuote", text=True),

@@ -11,7 +11,7 @@ from citeplane.operators.outline import NoSuchSection, Section, squeeze
 HTML, MARKDOWN, WIKITEXT, PLAIN = "html", "markdown", "wikitext", "plain-text"
 MIME = {HTML: "text/html", MARKDOWN: "text/markdown", WIKITEXT: "text/x-wikitext", PLAIN: "text/plain"}
 _OPENING = re.compile(r"<(?:b|p|a|br|div|font|h[1-6]|style|title|table|iframe|script|pre|body|head|html|!doctype)[\s>/]")
-_COMMENTS = re.compile(r"(?:<!--.*?-->\s*)+", re.S)
+_COMMENTS = re.compile(r"(?:<!--(?s:.*?)-->\s*)+")
 _LINES = re.compile(r"(\d+)-(\d+)")
 _LOCATED = frozenset("p li td th dd dt div pre code span blockquote figcaption".split()) | markup.HEADINGS
 

@@ -17,8 +17,8 @@ SUGGESTIONS = 6
 ALIKE = 0.5
 _ROMAN = {"M": 1000, "CM": 900, "D": 500, "CD": 400, "C": 100, "XC": 90, "L": 50, "XL": 40, "X": 10, "IX": 9, "V": 5, "IV": 4, "I": 1}
 _SPACES = re.compile(r"\s+")
-_TRAILING = re.compile(r"(\d+|[IVXLCDM]+)\s*$")
-_DESIGNATOR = re.compile(r"(?:(?:Appendix|Annex)\s+)?(\d+(?:\.\d+)*|[A-Z](?:\.\d+)*(?=\.))")
+_TRAILING = re.compile(r"(\d+|[MDCLXVI]+)\s*$")
+_DESIGNATOR = re.compile(r"(?:(?:Annex|Appendix)\s+)?(\d+(?:\.\d+)*|[A-Z](?:\.\d+)*(?=\.))")
 _NTH_PARAGRAPH = re.compile(r"para(?:graph)?\s+(\d+)", re.I)
 
 
@@ -45,9 +45,9 @@ def to_roman(n: int) -> str:
 @dataclass(eq=False)
 class Section:
     title: str = ""
-    level: int = 0
-    paragraphs: list[str] = field(default_factory=list)
     parts: list[Section] = field(default_factory=list)
+    paragraphs: list[str] = field(default_factory=list)
+    level: int = 0
 
     def text(self) -> str:
         """Paragraphs of this section and of those in it; titles are no part of it."""
@@ -62,7 +62,7 @@ class Section:
         title = self.title.strip()
         if number := designator(title):
             return "§ " + number
-        return f"'{title}'" if "," in title else title
+        return "'" + title + "'" if "," in title else title
 
 
 class Builder:
@@ -75,7 +75,7 @@ class Builder:
     def heading(self, level: int, title: str) -> None:
         while len(self.open) > 1 and self.open[-1].level >= level:
             self.open.pop()
-        made = Section(title, level)
+        made = Section(title, level=level)
         self.open[-1].parts.append(made)
         self.open.append(made)
 
@@ -99,17 +99,17 @@ def _of_lines(body: str, heading: re.Pattern[str], above: int) -> Section:
 
 
 def of_markdown(body: str) -> Section:
-    return _of_lines(body, re.compile(r"(#{1,6})\s+(.+?)(?:\s+#+)?\s*$"), 0)
+    return _of_lines(body, re.compile(r"(?P<marks>#{1,6})\s+(?P<said>.+?)(?:\s+#+)?\s*$"), 0)
 
 
 def of_wikitext(body: str) -> Section:
-    return _of_lines(body, re.compile(r"(={2,6})\s*(.+?)\s*=+\s*$"), 1)
+    return _of_lines(body, re.compile(r"(?P<marks>={2,6})\s*(?P<said>.+?)\s*=+\s*$"), 1)
 
 
 CONTENT = frozenset("p li pre td th dt dd blockquote figcaption".split())
 
 
-def _up_to_heading(node: markup.Element, done: set[int]) -> tuple[str, bool]:
+def _up_to_heading(node: markup.Element, done: set) -> tuple[str, bool]:
     """Text before the first heading in ``node``; content elements read whole are noted in ``done``."""
     out = []
     for kid in node.kids:
@@ -140,7 +140,7 @@ def of_html(root: markup.Element) -> Section:
     return made.root
 
 
-# selectors -------------------------------------------------------------------------------------------------------
+# selectors
 
 
 @dataclass(frozen=True)
@@ -210,7 +210,7 @@ class NoSuchSection(LookupError):
         self.near = near
 
 
-def _dotted(label: str) -> tuple[int, ...] | None:
+def _levels(label: str) -> tuple[int, ...] | None:
     text = label.removeprefix("§").strip()
     return tuple(map(int, text.split("."))) if re.fullmatch(r"\d+(?:\.\d+)*", text) else None
 
@@ -218,12 +218,12 @@ def _dotted(label: str) -> tuple[int, ...] | None:
 def _near(section: Section, step: Step) -> tuple[list[str], int]:
     labels = [x for s in section.below() if (x := s.label())]
     asked = "§ " + step.value if step.kind == "number" else step.value
-    wanted = _dotted(asked) if step.kind == "number" else None
+    wanted = _levels(asked) if step.kind == "number" else None
     if wanted is None:
         return get_close_matches(asked, labels, SUGGESTIONS, ALIKE) if labels else [], len(labels)
     ranked = []
     for label in labels:
-        if number := _dotted(label):
+        if number := _levels(label):
             same = next((i for i, (a, b) in enumerate(zip(wanted, number)) if a != b), min(len(wanted), len(number)))
             ratio = SequenceMatcher(None, asked, label).ratio()
             if same or ratio >= ALIKE:
@@ -333,13 +333,14 @@ def proven(root: Section, quote: str) -> str | None:
         return None
 
 
-# anchors ---------------------------------------------------------------------------------------------------------
+# anchors
 
-_ANCHOR = re.compile(r"(?:section|sec|appendix|app)-(\d+(?:\.\d+)*|[A-Z](?:\.\d+)*)", re.I)
+_ANCHOR = re.compile(r"(?:app|appendix|sec|section)-(\d+(?:\.\d+)*|[A-Z](?:\.\d+)*)", re.I)
 
 
 def anchor_slug(title: str) -> str:
-    return re.sub(r"[\s_]+", "-", re.sub(r"[^\w\s-]", "", squeeze(title).lower())).strip("-")
+    kept = "".join(c for c in squeeze(title).lower() if c in "-_ " or c.isalnum())
+    return "-".join(x for x in re.split("[ _]+", kept)).strip("-")
 
 
 def of_title(title: str) -> str | None:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from citeplane import schemas
 from citeplane.functions import text, urls
 from citeplane.operators import extract, locate, repositories, resolve
+from citeplane.scratch import materialize
 
 CACHE, CONTENT, SNIPPET = "Fragments: cache resolution", "Fragments: content extraction", "Fragments: snippet verified"
 TERMS, URLS, REPOS, SUPERSEDED, SHAPE = "Terms", "Source URLs", "Repo documents", "Document supersession", "Citations shape"
@@ -109,7 +110,8 @@ def chain_verdicts(resolved: DataFrame, got: DataFrame) -> DataFrame:
 
 def _explained(failures: DataFrame) -> DataFrame:
     """(check, urn, hint) of the failures whose quote wasn't found."""
-    return locate.diagnose(failures, ["check", "urn"], "quote", "text", "where")
+    # Explaining is work for processors: failures are dealt out evenly, however few bytes they are.
+    return locate.diagnose(failures.repartition("urn"), ["check", "urn"], "quote", "text", "where")
 
 
 def _first(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -169,15 +171,15 @@ def _ordered(rows: DataFrame, offset: int) -> DataFrame:
 
 
 def check(citations: Citations, world: World, options: Options = Options()) -> Report:  # noqa: B008
-    """The full verification. Frames are lazy; checks, findings and verdicts are made when they are read."""
+    """The full verification. Targets and verdicts are made and written at once; the report's frames are made as read."""
     spark = citations.fragments.sparkSession
     resolved = _ordered(resolve.chain(citations.fragments, citations.sources, options.fetcher, options.crawlers), 0)
     terms = _ordered(resolve.direct(citations.terms if citations.terms is not None else _none(spark, schemas.TERMS), options.fetcher, options.crawlers), 1)
-    # Read by five checks; without texts it is small. A lost executor's part is computed again.
-    every = resolved.unionByName(terms).persist()
+    # Read by five checks: written once, so that neither the work nor the plan is repeated.
+    every = materialize(resolved.unionByName(terms))
     resolved, terms = (every.where(F.col("ord").startswith(k)) for k in "01")
-    got = outcomes(every, world, options).persist()
-    judged = chain_verdicts(resolved, got).persist()
+    got = materialize(outcomes(every, world, options))
+    judged = materialize(chain_verdicts(resolved, got))
     where = F.when(F.col("kind") == "fetcher", F.coalesce("locator", F.lit(""))).otherwise("")
     findings = [judged.where(f"{c} is not null").select(*_failed(name, "ord", F.col(c)), "quote", "text", where.alias("where")) for c, name in (("fail_cache", CACHE), ("fail_content", CONTENT), ("fail_snippet", SNIPPET))]
     of_terms = chain_verdicts(terms, got)
@@ -185,12 +187,14 @@ def check(citations: Citations, world: World, options: Options = Options()) -> R
     n = F.length("text")
     unheld = (F.col("quote") != "") & (n >= text.MIN_EVIDENCE) & ~F.contains(F.col("text"), F.col("quote"))
     why = F.when(F.col("outcome") != "ok", F.col("why")).otherwise(F.concat(F.lit("empty extraction ("), n.cast("string"), F.lit(" chars)")))
-    of_terms = of_terms.withColumn("fail", F.when(F.col("status") != "resolved", F.concat(place, "status")).when(unheld, NOT_FOUND).when(n < text.MIN_DIRECT, F.concat(place, why))).persist()
+    of_terms = of_terms.withColumn("fail", F.when(F.col("status") != "resolved", F.concat(place, "status")).when(unheld, NOT_FOUND).when(n < text.MIN_DIRECT, F.concat(place, why)))
+    of_terms = materialize(of_terms)
     findings.append(of_terms.where("fail is not null").select(*_failed(TERMS, "ord", F.col("fail")), "quote", "text", F.lit("").alias("where")))
     failed = findings[0]
     for f in findings[1:]:
         failed = failed.unionByName(f)
     hints = _explained(failed.where(F.col("reason") == NOT_FOUND)).select(F.col("check").alias("__c"), F.col("urn").alias("__n"), "hint")
+    hints = materialize(hints)
     failed = failed.drop("quote", "text", "where").join(hints, (F.col("check") == F.col("__c")) & (F.col("urn") == F.col("__n")), "left").drop("__c", "__n")
     runs = [
         (URLS, redirect_check(every, world.fetches, options.strict_redirects)) if world.fetches is not None else None,
@@ -204,7 +208,7 @@ def check(citations: Citations, world: World, options: Options = Options()) -> R
     for _, (_, f) in filter(None, runs):
         failed = failed.unionByName(f.withColumn("hint", F.lit(None).cast(schemas.HINT)))
     sites = citations.cite_sites if citations.cite_sites is not None else _none(spark, schemas.CITE_SITES)
-    failed = with_cite_sites(failed, sites)
+    failed = materialize(with_cite_sites(failed, sites))
     verdicts = judged.select("urn", F.when(F.col("fail_snippet").isNull(), "verified").otherwise("failed").alias("status"), "ord")
     return Report(roll_up(counted, failed), failed, verdicts, every)
 

@@ -35,7 +35,7 @@ def _long(c: Column) -> Column:
 _NORM = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 _QUOTE = r"trim(regexp_replace(trim(regexp_replace({}, '\s+', ' ', 'g')), '(\.\.\.|…)$', ''))"
 
-# search and gates ------------------------------------------------------------------------------------------------
+# search and gates
 
 _HELD = rf"""
 with d as materialized (select doc_id, {_NORM.format("text")} as body from documents),
@@ -77,7 +77,7 @@ def extraction_gate(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", _long(n).alias("n_chars"), (n >= text.MIN_EVIDENCE).alias("chain_ok"), (n >= text.MIN_DIRECT).alias("direct_ok"))
 
 
-# URLs and routing ------------------------------------------------------------------------------------------------
+# URLs and routing
 
 
 @_query("select page_id, split_part(url, '#', 1) as doc_url, left(sha256(split_part(url, '#', 1)), 16) as cache_key, 'url:' || split_part(url, '#', 1) as doc_key from pages")
@@ -133,7 +133,7 @@ def pattern_mint(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", urls.minted_url(name).alias("url"))
 
 
-# text ------------------------------------------------------------------------------------------------------------
+# text
 
 
 @_query(r"""with b as (select 'page' as kind, page_id as id, html as body from pages union all select 'document', doc_id, text from documents),
@@ -215,7 +215,7 @@ def typographic_kind(spark, sf_dir):
     return rows.select("item_id", text.typographic_kind(F.upper(source), source).alias("upper_kind"), text.typographic_kind(marked, source).alias("markup_kind"))
 
 
-# resolution ------------------------------------------------------------------------------------------------------
+# resolution
 
 
 def _hierarchy(spark, sf_dir) -> DataFrame:
@@ -279,7 +279,7 @@ def direct_resolve(spark, sf_dir):
     return resolve.direct(terms).select(F.col("urn").cast("long").alias("page_id"), "status", "anchor", "format", "locator")
 
 
-# checks ----------------------------------------------------------------------------------------------------------
+# checks
 
 
 def _run(spark, sf_dir) -> verify.Report:
@@ -377,7 +377,7 @@ def cite_sites(spark, sf_dir):
     return verify.with_cite_sites(found, sites).select("urn", F.array_join(F.transform("cited_by", lambda s: F.concat_ws(":", s["file"], s["line"].cast("string"))), ",").alias("cited_by"))
 
 
-# documents -------------------------------------------------------------------------------------------------------
+# documents
 
 _ENTITIES = "replace(replace(replace(replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&')"
 
@@ -442,7 +442,7 @@ def closest_match(spark, sf_dir):
     return locate.diagnose(rows, ["item_id"]).select("item_id", "hint.source_text", "hint.ratio", "hint.kind", F.array_join("hint.missing", " ").alias("missing"), F.array_join("hint.extra", " ").alias("extra"))
 
 
-# repositories ----------------------------------------------------------------------------------------------------
+# repositories
 
 
 @_query("select p_partkey, case p_partkey % 3 when 0 then 'b_djvu.txt' when 1 then 'a.txt' end as file from part")
@@ -475,7 +475,7 @@ def book_chapters(spark, sf_dir):
     return whole.join(named, "lang")
 
 
-# triples ---------------------------------------------------------------------------------------------------------
+# triples
 
 
 def _citations(spark, sf_dir) -> verify.Citations:

@@ -58,7 +58,7 @@ def as_text(report: Report, brief: bool = False, title: str = "Citation verifica
                 for r in rows:
                     out.append(f"           {r['label']}: {r['reason']}")
                     if h := r["hint"]:
-                        out += ["             " + x for x in diagnosis.render(diagnosis.Finding(h["source_text"], h["ratio"], h["kind"] or "", h["missing"], h["extra"], h["where"] or ""))]
+                        out += ["             " + x for x in diagnosis.render(diagnosis.Finding(h["source_text"], h["ratio"], h["kind"] or "", h["where"] or "", h["extra"], h["missing"]))]
                     out += ["             cited by " + (s["file"] if s["line"] is None else f"{s['file']}:{s['line']}") for s in r["cited_by"]]
     s = summary(report.checks).first()
     out += [f"\n  {rule}", f"  Summary: {s['pass']} PASS, {s['fail']} FAIL, {s['warn']} WARN"]

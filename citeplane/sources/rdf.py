@@ -17,8 +17,9 @@ from citeplane import schemas
 from citeplane.functions import text as tx
 from citeplane.operators.verify import Citations
 
-RDF, RDFS, XSD = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2001/XMLSchema#"
-OA, PROV, DCTERMS, SCHEMA = "http://www.w3.org/ns/oa#", "http://www.w3.org/ns/prov#", "http://purl.org/dc/terms/", "https://schema.org/"
+_W3 = "http://www.w3.org/"
+RDF, RDFS, XSD, OA, PROV = (_W3 + x for x in ("1999/02/22-rdf-syntax-ns#", "2000/01/rdf-schema#", "2001/XMLSchema#", "ns/oa#", "ns/prov#"))
+DCTERMS, SCHEMA = "http://purl.org/dc/terms/", "https://schema.org/"
 BIBO, CP = "http://purl.org/ontology/bibo/", "urn:citeplane:vocabulary#"
 PREFIXES = {"rdf": RDF, "rdfs": RDFS, "xsd": XSD, "oa": OA, "prov": PROV, "dcterms": DCTERMS, "schema": SCHEMA, "bibo": BIBO, "cp": CP}
 
@@ -219,7 +220,7 @@ class UnknownFormat(ValueError):
     """A serialization that isn't offered."""
 
 
-FORMATS = {"nt": "nt", "ntriples": "nt", "n-triples": "nt", "turtle": "turtle", "ttl": "turtle", "json-ld": "jsonld", "jsonld": "jsonld", "xml": "xml", "rdf-xml": "xml"}
+FORMATS = {name: kind for kind, names in (("nt", "nt ntriples n-triples"), ("turtle", "turtle ttl"), ("jsonld", "json-ld jsonld"), ("xml", "xml rdf-xml")) for name in names.split()}
 
 
 def serialize(triples: DataFrame, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ from citeplane.operators.verify import Citations
 _PLAIN = ("url", "type", "language", "title", "date", "license", "isbn", "doi", "publisher", "edition")
 SOURCE_KEYS = frozenset((*_PLAIN, "label", "part_of", "fragments"))
 _EXTRA = ("lines", "location", "page_start", "page_end")
-FRAGMENT_KEYS = frozenset((*_EXTRA, "label", "snippet", "selector", "section", "cited_by"))
+FRAGMENT_KEYS = frozenset("section selector snippet label cited_by".split()) | {*_EXTRA}
 NAMESPACE = "urn:citeplane:"
 
 
@@ -72,7 +72,8 @@ def patterns_of(declared: object, origin: str) -> list[Pattern]:
             raise Refused(f"{what} needs a match, and a source with a url")
         _known(source, SOURCE_KEYS - {"label", "fragments"}, f"{what}: source")
         try:
-            match = re.compile(str(entry["match"]))
+            text = str(entry["match"])
+            match = re.compile(text)
         except re.error as e:
             raise Refused(f"{what}: bad regular expression: {e}") from None
         template = {k: _text(v, f"{what}: source.{k}") for k, v in source.items()}
@@ -123,13 +124,13 @@ def _base(value: object, origin: str) -> str:
     return base
 
 
-def parse(data: object, origin: str = "<data>") -> Parsed:
+def parse(data: object, origin="<data>") -> Parsed:
     """Rows of a sources file, or a refusal."""
     if not isinstance(data, dict) or "sources" not in data:
         raise Refused(f"{origin}: a list of sources must be at the top")
     _known(data, frozenset(("sources", "patterns", "base")), origin)
     out = Parsed(_base(data.get("base"), origin), patterns=patterns_of(data.get("patterns"), origin))
-    head = out.base + ("" if out.base.endswith(("#", "/", ":")) else "#") if out.base else NAMESPACE
+    head = out.base + ("" if out.base[-1] in "/:#" else "#") if out.base else NAMESPACE
     minted: dict[str, str] = {}
 
     def mint(kind: str, key: str, what: str) -> str:

@@ -197,7 +197,7 @@ def test_mdn():
 
 
 def test_rfc():
-    old = '<html><body><div id="content"><pre>\nNet Group\n\n                A Title of It\n\nAbstract\n\n   Words.\n<span class="h2"><a class="selflink" id="section-1" href="#section-1">1</a>.  Intro</span>\n   Text with a well-\n   known word.\n\nDoe  [Page 1]\n<span class="grey">RFC</span>\n   More.\n</pre></div></body></html>'
+    old = '<html><body><div id="content"><pre>\nNet Group\n\n                A Title of It\n\nAbstract\n\n   Words.\n<span class="h2"><a href="#section-1" id="section-1" class="selflink">1</a>.  Intro </span>\n   Text with a well-\n   known word.\n\nDoe  [Page 1]\n<span class="grey">RFC</span>\n   More.\n</pre></div></body></html>'
     from citeplane.operators.content import Document
 
     doc = Document(payloads.rfc(old))
