@@ -2,61 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeplane.scratch import materialize
+
+__all__ = ["BROADCAST_BYTES", "fits", "materialize", "pick", "slices", "table", "text_of", "texts"]
+
 #: Largest thing, in bytes, that an operator of this package ships to every executor.
 BROADCAST_BYTES = 64 << 20
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="citeplane-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and any executor may be lost.
-
-    Column names are replaced while on disk, so names that clash but for case, or hold odd signs, survive.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/citeplane-{uuid.uuid4().hex}"
-    names, kinds = df.columns, df.schema
-    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
-    plain.write.parquet(path)
-    _SCRATCH.append((spark, path))
-    return spark.read.schema(plain.schema).parquet(path).toDF(*names) if len(kinds) else df
-
-
-def drop_scratch() -> None:
-    """Delete what ``materialize`` has written; runs when the driver ends."""
-    while _SCRATCH:
-        spark, path = _SCRATCH.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the JVM may be gone already  # noqa: BLE001
-            return
-
-
-atexit.register(drop_scratch)
-
-
 def text_of(col: str | Column = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -18,7 +18,7 @@ from .conftest import plain, rows
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-# 1 ---------------------------------------------------------------------------------------------------------------
+# 1
 
 
 def brute_passages(data, size, split):
@@ -66,7 +66,7 @@ def test_minimiser_rows_tile_the_windows():
     assert first[0] == 0 and last[-1] == 480 and (first[1:] == last[:-1] + 1).all() and ((m >= last) & (m <= first + 14)).all()
 
 
-# 2 ---------------------------------------------------------------------------------------------------------------
+# 2
 
 
 def brute_matches(text, items, window=13):
@@ -99,7 +99,7 @@ def test_decontamination_equals_brute_force(spark, block):
     assert decontaminate.decontaminate(df, bench.limit(0)).count() == len(texts)
 
 
-# 3 ---------------------------------------------------------------------------------------------------------------
+# 3
 
 
 def test_chat_round_trip(spark):
@@ -147,7 +147,7 @@ def test_chat_plan_has_no_python(spark):
     assert "Python" not in op3_chat(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
 
 
-# 4 ---------------------------------------------------------------------------------------------------------------
+# 4
 
 
 def test_restores_obfuscated_words():
@@ -184,7 +184,7 @@ def test_toxicity_held_out_accuracy(spark):
     assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.9 and n[0, 0] / (n[0, 0] + n.get((0, 1), 0)) > 0.98
 
 
-# 5 ---------------------------------------------------------------------------------------------------------------
+# 5
 
 
 def brute_measures(t):
@@ -212,7 +212,7 @@ def test_quality_quantiles_are_near(spark):
         assert true * 0.984 <= got[f"q{q}"] <= true
 
 
-# 6 ---------------------------------------------------------------------------------------------------------------
+# 6
 
 
 def brute_lines(data, run):
@@ -252,7 +252,7 @@ def test_untouched_text_keeps_every_character():
     assert lines.without("a\n\nb\n\nc\n\nd", [(1, 3)])[0] == "a\n\n\nd"
 
 
-# 7 ---------------------------------------------------------------------------------------------------------------
+# 7
 
 
 def brute_count(word, scores):
@@ -275,7 +275,7 @@ def test_unigram_counts_equal_plain_dynamic_programming(docs):
         assert (x["n_words"], x["n_tokens"]) == (len(w), sum(brute_count(v, scores) for v in w))
 
 
-# 8 ---------------------------------------------------------------------------------------------------------------
+# 8
 
 
 def test_bpe_equals_the_library(spark, docs):
@@ -307,7 +307,7 @@ def test_pair_tree_root_is_the_leftmost_least():
         assert tree.root() == min(keys)
 
 
-# 9 ---------------------------------------------------------------------------------------------------------------
+# 9
 
 
 def brute_print(text):
@@ -381,7 +381,7 @@ def test_covering_masks_miss_no_pair():
             assert any(not m & sum(1 << i for i in c) for m in masks)
 
 
-# 10 --------------------------------------------------------------------------------------------------------------
+# 10
 
 
 def test_url_parts_and_rules(spark):
@@ -403,7 +403,7 @@ def test_bad_hosts_are_blocked_and_small_ones_shrunk(spark):
     assert got[0] == "block" and got[100] == "allow" and got[900] == "allow" and len(got) == len(pages)
 
 
-# all -------------------------------------------------------------------------------------------------------------
+# all
 
 LABELS = [(0, 1, 0), (1, 1, 0), (22, 0, 1), (22, 0, 1), (None, 1, 1), (2, None, None), (4, 1, 0)]
 
