@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeplane.scratch import materialize
 from citeplane.sources.rdf import CP, DCTERMS, OA, PROV, RDF, RDFS, SCHEMA, XSD
 
 
@@ -57,7 +58,8 @@ SHAPES = (
 
 def violations(triples: DataFrame, shapes: tuple[Shape, ...] = SHAPES) -> DataFrame:
     """(shape, node, path, problem) of every broken constraint."""
-    triples = triples.select("s", "p", "o", "o_kind", "datatype", "lang").distinct()
+    # Every shape reads the triples: they are written once, and each query's plan begins there.
+    triples = materialize(triples.select("s", "p", "o", "o_kind", "datatype", "lang").distinct())
     kinds = triples.where(F.col("p") == RDF + "type").select(F.col("s").alias("n"), F.col("o").alias("k"))
     out = None
     for x in shapes:
