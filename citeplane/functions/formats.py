@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MIME = {"plain-text": "text/plain", "wikitext": "text/x-wikitext", "markdown": "text/markdown", "html": "text/html"}
-_OPENING = r"\A<(?:b|p|a|br|div|font|h[1-6]|style|title|table|iframe|script|pre|body|head|html|!doctype)[\s>/]"
+from citeplane import fixed
 
 
 def normalize_mime(c: Column) -> Column:
-    names = F.create_map(*(F.lit(x) for kv in MIME.items() for x in kv))
+    names = F.create_map(*(F.lit(x) for kv in fixed.MIME.items() for x in kv))
     return F.coalesce(names[c], c)
 
 
 def looks_like_html(body: Column) -> Column:
     head = F.lower(F.regexp_replace(F.substring(body, 1, 1000), r"(?U)\A[\s\x{1c}-\x{1f}]+", ""))
-    after = F.regexp_replace(head, r"\A(?:<!--(?s:.*?)-->\s*)+", "")
-    return head.startswith("<html") | head.startswith("<!doctype") | after.rlike(_OPENING) | F.contains(head, F.lit("<body")) | F.contains(head, F.lit("<head"))
+    after = F.regexp_replace(head, fixed.LEADING_COMMENTS, "")
+    return head.startswith("<html") | head.startswith("<!doctype") | after.rlike("^" + fixed.HTML_OPENING_TAG) | F.contains(head, F.lit("<body")) | F.contains(head, F.lit("<head"))
 
 
 def detect_format(body: Column) -> Column:
     start = F.substring(body, 1, 2000)
-    wiki = body.rlike(r"(?m)^={2,6}[^=]") | F.contains(start, F.lit("[[")) | F.contains(start, F.lit("{{"))
-    return F.when(looks_like_html(body), "html").when(body.rlike(r"(?m)^#{1,6}\s"), "markdown").when(wiki, "wikitext").otherwise("plain-text")
+    wiki = body.rlike(fixed.WIKITEXT_SIGN) | F.contains(start, F.lit("[[")) | F.contains(start, F.lit("{{"))
+    return F.when(looks_like_html(body), "html").when(body.rlike(fixed.MARKDOWN_SIGN), "markdown").when(wiki, "wikitext").otherwise("plain-text")

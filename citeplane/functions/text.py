@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from citeplane import fixed
+
 #: Fewest characters of a quote, once normalized, that count as evidence, and of a term's page.
 MIN_EVIDENCE = 20
 MIN_DIRECT = 3
@@ -103,32 +105,29 @@ def repository_text(body: Column, location: Column) -> Column:
     return F.when(ranged != "", line_range(body, ranged)).when((F.trim(location) == "") | (F.length(body) < SMALL_FILE), body).otherwise("")
 
 
-_ROMAN = (("M", 1000), ("CM", 900), ("D", 500), ("CD", 400), ("C", 100), ("XC", 90), ("L", 50), ("XL", 40), ("X", 10), ("IX", 9), ("V", 5), ("IV", 4), ("I", 1))
-
-
 def roman_to_int(c: Column) -> Column:
     """Greedy and in any case, so that forms like IIII count; null where it is no numeral."""
     text = F.upper(F.trim(c))
-    groups = "".join(f"({s}*)" if len(s) == 1 else f"((?:{s})*)" for s, _ in _ROMAN)
-    total = reduce(lambda a, b: a + b, ((F.length(F.regexp_extract(text, rf"\A{groups}\z", i)) / len(s)).cast("int") * worth for i, (s, worth) in enumerate(_ROMAN, 1)))
+    groups = "".join(f"({s}*)" if len(s) == 1 else f"((?:{s})*)" for _, s in fixed.ROMAN)
+    total = reduce(lambda a, b: a + b, ((F.length(F.regexp_extract(text, rf"\A{groups}\z", i)) / len(s)).cast("int") * worth for i, (worth, s) in enumerate(fixed.ROMAN, 1)))
     return F.when((text != "") & text.rlike(rf"\A{groups}\z"), total)
 
 
 def int_to_roman(c: Column) -> Column:
     out, rest = F.lit(""), c
-    for sign, worth in _ROMAN:
+    for worth, sign in fixed.ROMAN:
         out, rest = F.concat(out, F.repeat(F.lit(sign), F.floor(rest / worth).cast("int"))), rest % worth
     return out
 
 
 def trailing_number(c: Column) -> Column:
-    found = F.regexp_extract(F.trim(c), r"(\d+|[MDCLXVI]+)\s*\z", 1)
+    found = F.regexp_extract(F.trim(c), fixed.TRAILING_NUMBER, 1)
     return F.coalesce(found.try_cast("int"), roman_to_int(blank_to_null(found)))
 
 
 def designator(title: Column) -> Column:
     """The number a title begins with, or a capital followed by a dot, perhaps behind Appendix or Annex; else null."""
-    return blank_to_null(F.regexp_extract(F.trim(title), r"\A(?:(?:Annex|Appendix)\s+)?(\d+(?:\.\d+)*|[A-Z](?:\.\d+)*(?=\.))", 1))
+    return blank_to_null(F.regexp_extract(F.trim(title), fixed.DESIGNATOR, 1))
 
 
 #: Folding of case. (The optimizer makes lower(upper(w)) lower(w), so the letters that only folding changes are named.)
@@ -136,10 +135,10 @@ _FOLD = lambda w: F.replace(F.translate(F.lower(w), "ſς", "sσ"), F.lit("ß"),
 _PUNCTUATION = r"[!-/:-@\[-`{-~]+"
 _STRIP = lambda c, of: F.regexp_replace(c, rf"\A{of}|{of}\z", "")
 FOLDS = (
-    ("differs only in case", _FOLD),
-    ("differs only in inline markup " "(backticks, emphasis)", lambda w: _STRIP(w, "[`*]+")),
-    ("differs only in punctuation", lambda w: _STRIP(w, _PUNCTUATION)),
-    ("differs only in case, punctuation or markup", lambda w: _STRIP(_STRIP(_FOLD(w), "[`*]+"), _PUNCTUATION)),
+    (fixed.CASE, _FOLD),
+    (fixed.INLINE_MARKUP, lambda w: _STRIP(w, "[`*]+")),
+    (fixed.PUNCTUATION, lambda w: _STRIP(w, _PUNCTUATION)),
+    (fixed.CASE_PUNCTUATION_OR_MARKUP, lambda w: _STRIP(_STRIP(_FOLD(w), "[`*]+"), _PUNCTUATION)),
 )
 
 

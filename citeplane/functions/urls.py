@@ -2,33 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from citeplane import fixed
 from citeplane.functions.text import blank_to_null
 
-#: Repository and the pattern that claims a URL and captures its key; the first that fits has it.
-CLAIMS = (
-    ("archive", r"archive[.]org/details/(.[^/?#]*)"),
-    ("gutenberg", r"gutenberg[.]org/ebooks/(\d+)"),
-    ("mdn", r"developer[.]mozilla[.]org/[eE][nN]-[uU][sS]/docs/([^\s?#]+)"),
-    ("rfc", "(?:" + "|".join((r"ietf[.]org/archive/id", r"rfc-editor[.]org/rfc", r"datatracker[.]ietf[.]org/doc/html")) + r")/((?:std|bcp|rfc)\d+|draft-[0-9A-Za-z][0-9A-Za-z.\-]*?)(?:[.][a-z]+)?(?:[/?#]|$)"),
-    ("wikisource", r"wikisource[.]org/wiki/(.[^?#]*)"),
-    ("wiktionary", r"wiktionary[.]org/wiki/(.[^?#]*)"),
-)
-_RFC_KEY = r"\A(?:(?:std|bcp|rfc)\d+|draft-[0-9a-z][0-9a-z.\-]*)\z"
-#: Families of names: pattern of the name, and the URL with its group in it.
-FAMILIES = tuple(
-    (rf"\A{name} ({part})\z", f"https://{site}")
-    for name, part, site in (
-        ("Archive", r"[^\s/?#]+", "archive.org/details/{}"),
-        ("Gutenberg", r"\d+", "www.gutenberg.org/ebooks/{}"),
-        ("MDN", ".+", "developer.mozilla.org/en-US/docs/{}"),
-        ("RFC", r"\d+", "www.rfc-editor.org/rfc/rfc{}.html"),
-        ("Wikisource", ".+", "en.wikisource.org/wiki/{}"),
-        ("Wiktionary", ".+", "en.wiktionary.org/wiki/{}"),
-    )
-)
 SUPERSESSION = ("rfc",)
 
 
@@ -48,7 +29,7 @@ def cache_key(url: Column) -> Column:
     return F.substring(F.sha2(document_url(url), 256), 1, 16)
 
 
-def claimed_by(url: Column, claims=CLAIMS) -> Column:
+def claimed_by(url: Column, claims=fixed.CLAIMS) -> Column:
     """The first repository whose pattern is found in the URL without its anchor; null where none is."""
     url, out = document_url(url), None
     for name, pattern in claims:
@@ -58,13 +39,13 @@ def claimed_by(url: Column, claims=CLAIMS) -> Column:
 
 def _mdn_key(slug: Column) -> Column:
     slug = F.regexp_replace(F.try_url_decode(F.replace(slug, F.lit("+"), F.lit("%2B"))), r"\A/+|/+\z", "")
-    for sign, word in (("*", "_star_"), ("::", "_doublecolon_"), (":", "_colon_"), ("?", "_question_")):
+    for sign, word in fixed.MDN_FOLDERS:
         slug = F.replace(slug, F.lit(sign), F.lit(word))
     key = F.concat(F.lit("en-us/"), F.lower(slug))
     return F.when((slug != "") & ~key.rlike(r"(?:\A|/)\.{0,2}(?:/|\z)"), key)
 
 
-def repository_key(url: Column, claims=CLAIMS) -> Column:
+def repository_key(url: Column, claims=fixed.CLAIMS) -> Column:
     """The key of the claimed document; null where the URL yields none."""
     url, out = document_url(url), None
     for name, pattern in claims:
@@ -72,18 +53,19 @@ def repository_key(url: Column, claims=CLAIMS) -> Column:
         if name == "mdn":
             raw = _mdn_key(raw)
         elif name == "rfc":
-            raw = F.when(F.lower(raw).rlike(_RFC_KEY), F.lower(raw))
+            raw = F.when(F.lower(raw).rlike(fixed.RFC_SAFE_KEY), F.lower(raw))
         elif name.startswith("wik"):
             raw = F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
         out = F.when(url.rlike(pattern), raw) if out is None else out.when(url.rlike(pattern), raw)
     return out
 
 
-def minted_url(name: Column, families=FAMILIES) -> Column:
+def minted_url(name: Column, families=fixed.FAMILIES) -> Column:
     """The URL of the first family that the name belongs to; null where it belongs to none."""
     out = None
     for pattern, url in families:
-        made = F.concat(F.lit(url.split("{}")[0]), F.regexp_extract(name, pattern, 1), F.lit(url.split("{}")[1]))
+        pattern, (head, tail) = pattern.replace("(?P<", "(?<"), re.split(r"\{\w+\}", url)  # as Java spells groups
+        made = F.concat(F.lit(head), F.regexp_extract(name, pattern, 1), F.lit(tail))
         out = F.when(name.rlike(pattern), made) if out is None else out.when(name.rlike(pattern), made)
     return out
 

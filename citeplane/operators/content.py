@@ -5,15 +5,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from citeplane import fixed
 from citeplane.operators import markup, outline
 from citeplane.operators.outline import NoSuchSection, Section, squeeze
 
 HTML, MARKDOWN, WIKITEXT, PLAIN = "html", "markdown", "wikitext", "plain-text"
-MIME = {HTML: "text/html", MARKDOWN: "text/markdown", WIKITEXT: "text/x-wikitext", PLAIN: "text/plain"}
-_OPENING = re.compile(r"<(?:b|p|a|br|div|font|h[1-6]|style|title|table|iframe|script|pre|body|head|html|!doctype)[\s>/]")
-_COMMENTS = re.compile(r"(?:<!--(?s:.*?)-->\s*)+")
+_OPENING, _COMMENTS = re.compile(fixed.HTML_OPENING_TAG), re.compile(fixed.LEADING_COMMENTS)
 _LINES = re.compile(r"(\d+)-(\d+)")
-_LOCATED = frozenset("p li td th dd dt div pre code span blockquote figcaption".split()) | markup.HEADINGS
 
 
 def looks_like_html(body: str) -> bool:
@@ -25,16 +23,16 @@ def looks_like_html(body: str) -> bool:
 def detect(body: str) -> str:
     if looks_like_html(body):
         return HTML
-    if re.search(r"(?m)^#{1,6}\s", body):
+    if re.search(fixed.MARKDOWN_SIGN, body):
         return MARKDOWN
-    if re.search(r"(?m)^={2,6}[^=]", body) or any(x in body[:2000] for x in ("{{", "[[")):
+    if re.search(fixed.WIKITEXT_SIGN, body) or any(x in body[:2000] for x in ("[[", "{{")):
         return WIKITEXT
     return PLAIN
 
 
 def named(name: str | None) -> str | None:
     """A format by its own name or its media type."""
-    return name if name in MIME else next((k for k, v in MIME.items() if v == name), None)
+    return name if name in fixed.MIME else next((k for k, v in fixed.MIME.items() if v == name), None)
 
 
 class Document:
@@ -85,7 +83,7 @@ class Document:
         if self.kind != HTML:
             return None
         e = next((e for e in markup.content(self.tree).walk() if e.attrs.get("id") == anchor), None)
-        return squeeze(markup.text_of(e)) if e is not None and e.tag in markup.HEADINGS else None
+        return squeeze(markup.text_of(e)) if e is not None and e.tag in fixed.HEADING_TAGS else None
 
     def anchor_target(self, anchor: str) -> str | None:
         root = self.sections()
@@ -129,7 +127,7 @@ class Document:
         if fmt != HTML:
             found = outline.proven(self.sections(fmt), quote)
             return ("section", found, quote) if found else None
-        held = [(e, t) for e in self.tree.walk() if e.tag in _LOCATED and quote in (t := squeeze(markup.text_of(e)))]
+        held = [(e, t) for e in self.tree.walk() if e.tag in fixed.LOCATED_TAGS and quote in (t := squeeze(markup.text_of(e)))]
         for e, t in sorted(held, key=lambda x: -sum(1 for _ in x[0].ancestors())):
             selector = markup.path_to(e)
             try:

@@ -11,12 +11,9 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+from citeplane import fixed
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HEADINGS = frozenset(f"h{n}" for n in range(1, 7))
-#: Elements whose contents are never text of the page.
-SILENT = frozenset(("template", "noscript", "head", "style", "script"))
-#: Elements that end a line.
-BLOCKS = HEADINGS | frozenset("ul ol li dl dt dd table tr td th p pre br hr div section article aside main nav header footer figure figcaption blockquote address".split())
 
 
 class Element:
@@ -112,9 +109,9 @@ def text_of(node: Element) -> str:
         for kid in todo[-1]:
             if isinstance(kid, str):
                 out.append(kid)
-            elif kid.tag not in SILENT:
+            elif kid.tag not in fixed.NON_CONTENT_TAGS:
                 todo.append(iter(kid.kids))
-                ends.append("\n" if kid.tag in BLOCKS else "")
+                ends.append("\n" if kid.tag in fixed.BLOCK_TAGS else "")
                 break
         else:
             todo.pop()

@@ -11,15 +11,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher, get_close_matches
 
+from citeplane import fixed
 from citeplane.operators import markup
 
 SUGGESTIONS = 6
 ALIKE = 0.5
-_ROMAN = {"M": 1000, "CM": 900, "D": 500, "CD": 400, "C": 100, "XC": 90, "L": 50, "XL": 40, "X": 10, "IX": 9, "V": 5, "IV": 4, "I": 1}
 _SPACES = re.compile(r"\s+")
-_TRAILING = re.compile(r"(\d+|[MDCLXVI]+)\s*$")
-_DESIGNATOR = re.compile(r"(?:(?:Annex|Appendix)\s+)?(\d+(?:\.\d+)*|[A-Z](?:\.\d+)*(?=\.))")
-_NTH_PARAGRAPH = re.compile(r"para(?:graph)?\s+(\d+)", re.I)
 
 
 def squeeze(text: str) -> str:
@@ -29,7 +26,7 @@ def squeeze(text: str) -> str:
 def from_roman(text: str) -> int | None:
     """Greedy, in any case, and not only canonical forms."""
     rest, total = text.upper().strip(), 0
-    for sign, worth in _ROMAN.items():
+    for worth, sign in fixed.ROMAN:
         while rest.startswith(sign):
             rest, total = rest[len(sign) :], total + worth
     return total if total and not rest else None
@@ -37,7 +34,7 @@ def from_roman(text: str) -> int | None:
 
 def to_roman(n: int) -> str:
     out = ""
-    for sign, worth in _ROMAN.items():
+    for worth, sign in fixed.ROMAN:
         out, n = out + sign * (n // worth), n % worth
     return out
 
@@ -99,14 +96,11 @@ def _of_lines(body: str, heading: re.Pattern[str], above: int) -> Section:
 
 
 def of_markdown(body: str) -> Section:
-    return _of_lines(body, re.compile(r"(?P<marks>#{1,6})\s+(?P<said>.+?)(?:\s+#+)?\s*$"), 0)
+    return _of_lines(body, re.compile(fixed.MARKDOWN_HEADING), 0)
 
 
 def of_wikitext(body: str) -> Section:
-    return _of_lines(body, re.compile(r"(?P<marks>={2,6})\s*(?P<said>.+?)\s*=+\s*$"), 1)
-
-
-CONTENT = frozenset("p li pre td th dt dd blockquote figcaption".split())
+    return _of_lines(body, re.compile(fixed.WIKITEXT_HEADING), 1)
 
 
 def _up_to_heading(node: markup.Element, done: set) -> tuple[str, bool]:
@@ -115,14 +109,14 @@ def _up_to_heading(node: markup.Element, done: set) -> tuple[str, bool]:
     for kid in node.kids:
         if isinstance(kid, str):
             out.append(kid)
-        elif kid.tag in markup.HEADINGS:
+        elif kid.tag in fixed.HEADING_TAGS:
             return "".join(out), True
-        elif kid.tag not in markup.SILENT:
+        elif kid.tag not in fixed.NON_CONTENT_TAGS:
             text, stopped = _up_to_heading(kid, done)
-            out += [text, "\n" if kid.tag in markup.BLOCKS else ""]
+            out += [text, "\n" if kid.tag in fixed.BLOCK_TAGS else ""]
             if stopped:
                 return "".join(out), True
-            if kid.tag in CONTENT:
+            if kid.tag in fixed.SECTION_CONTENT_TAGS:
                 done.add(id(kid))
     return "".join(out), False
 
@@ -130,9 +124,9 @@ def _up_to_heading(node: markup.Element, done: set) -> tuple[str, bool]:
 def of_html(root: markup.Element) -> Section:
     made, done = Builder(), set()
     for e in markup.content(root).walk():
-        if e.tag in markup.HEADINGS:
+        if e.tag in fixed.HEADING_TAGS:
             made.heading(int(e.tag[1]), squeeze(markup.text_of(e)))
-        elif e.tag in CONTENT and id(e) not in done and not any(id(a) in done for a in e.ancestors()):
+        elif e.tag in fixed.SECTION_CONTENT_TAGS and id(e) not in done and not any(id(a) in done for a in e.ancestors()):
             text, stopped = _up_to_heading(e, done)
             if not stopped:
                 done.add(id(e))
@@ -151,12 +145,12 @@ class Step:
 
 
 def _number(text: str) -> int | None:
-    m = _TRAILING.search(text.strip())
+    m = re.search(fixed.TRAILING_NUMBER, text.strip())
     return None if not m else int(m[1]) if m[1].isdigit() else from_roman(m[1])
 
 
 def designator(title: str) -> str | None:
-    m = _DESIGNATOR.match(title.strip())
+    m = re.match(fixed.DESIGNATOR, title.strip())
     return m and m[1]
 
 
@@ -178,7 +172,7 @@ def steps_of(selector: str) -> list[Step]:
             out.append(Step("heading", piece[1:-1]))
         elif piece.startswith("§"):
             out.append(Step("number", piece[1:].strip()))
-        elif m := _NTH_PARAGRAPH.fullmatch(piece):
+        elif m := re.match(fixed.PARAGRAPH, piece):
             out.append(Step("paragraph", piece, int(m[1])))
         elif piece:
             out.append(Step("heading", piece, _number(piece)))
@@ -195,7 +189,7 @@ def _fits(section: Section, step: Step) -> bool:
         return True
     if step.ordinal is None or _number(section.title) != step.ordinal:
         return False
-    stem = lambda t: re.sub(r"\s*" + _TRAILING.pattern, "", squeeze(t)).strip().lower()
+    stem = lambda t: re.sub(r"\s*" + fixed.TRAILING_NUMBER, "", squeeze(t)).strip().lower()
     return stem(section.title) == stem(step.value)
 
 
@@ -335,8 +329,6 @@ def proven(root: Section, quote: str) -> str | None:
 
 # anchors
 
-_ANCHOR = re.compile(r"(?:app|appendix|sec|section)-(\d+(?:\.\d+)*|[A-Z](?:\.\d+)*)", re.I)
-
 
 def anchor_slug(title: str) -> str:
     kept = "".join(c for c in squeeze(title).lower() if c in "-_ " or c.isalnum())
@@ -355,7 +347,7 @@ def of_anchor(root: Section, anchor: str, by_id: str | None = None) -> str | Non
     """The selector an anchor stands for; ``by_id`` is the title of the heading that has it as its id."""
     if not anchor:
         return None
-    if m := _ANCHOR.fullmatch(anchor):
+    if m := re.match(fixed.SECTION_ANCHOR, anchor):
         return "§ " + (m[1].upper() if m[1][0].isalpha() else m[1])
     title = by_id or next((s.title for s in root.below() if anchor_slug(s.title) == anchor_slug(anchor)), None)
     return of_title(title) if title else None

@@ -9,25 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeplane import fixed
 from citeplane.functions import text
 from citeplane.sources import payloads
 
-#: Abbreviations of books, and the word that a chapter's title has for them.
-BIBLE = dict(
-    x.split("=")
-    for x in """acts=acts dan=daniel deut=deuteronomy eccl=ecclesiastes eph=ephesians ex=exodus ezek=ezekiel gal=galatians gen=genesis heb=hebrews isa=isaiah jer=jeremiah jn=john job=job
-    josh=joshua judg=judges lev=leviticus lk=luke mk=mark mt=matthew num=numbers prov=proverbs ps=psalm rev=revelation rom=romans ruth=ruth""".split()
-) | {f"{n} {short}": book for n in "12" for short, book in (("sam", "samuel"), ("kgs", "kings"), ("cor", "corinthians"))}
-
 
 def _gutenberg_rank(location: Column, title: Column, number: Column, matches: Column) -> Column:
     """By book of the Bible, by book of a classic, by chapter number, by a title that only one chapter has."""
     title = F.lower(F.coalesce(title, F.lit("")))
-    books = F.create_map(*(F.lit(x) for kv in BIBLE.items() for x in kv))
-    book = books[F.lower(F.trim(F.regexp_extract(location, r"\A(\d?\s*\p{Alpha}+)", 1)))]
-    classic = F.regexp_extract(location, r"(?i)\A(?:Homeric Hymn|Metamorphoses|Met|Theog|Od|Aen)[.\s]+([\dIVXLCDM]+)", 1)
+    books = F.create_map(*(F.lit(x) for kv in fixed.BIBLE_BOOKS.items() for x in kv))
+    book = books[F.lower(F.trim(F.regexp_extract(location, fixed.BIBLE_REFERENCE, 1)))]
+    classic = F.regexp_extract(location, fixed.CLASSICAL_REFERENCE, 2)
     in_title = (classic != "") & F.regexp_like(title, F.concat(F.lit(r"(?i)\bbook\s+"), F.lower(classic), F.lit(r"\b")))
-    chapter = F.regexp_extract(location, r"(?i)\Achapter:(\d+)", 1).try_cast("int")
+    chapter = F.regexp_extract(location, fixed.CHAPTER_NUMBER, 1).try_cast("int")
     return F.when(F.contains(title, book), 1).when(in_title, 2).when(number == chapter, 3).when(matches == 1, 4)
 
 
@@ -66,9 +60,8 @@ def books(files: DataFrame) -> DataFrame:
 
 
 def _verses(body: Column, location: Column) -> Column:
-    pattern = r"\A(?:\d\s+)?\p{Alpha}+\s+(\d+):(\d+)[-–](\d+)"
-    chapter, first, last = (F.regexp_extract(location, pattern, i).try_cast("int") for i in (1, 2, 3))
-    of = lambda x, i: F.regexp_extract(x, r"\A(\d+):(\d+)\s", i).try_cast("int")
+    chapter, first, last = (F.regexp_extract(location, fixed.BIBLE_VERSES, i).try_cast("int") for i in (1, 2, 3))
+    of = lambda x, i: F.regexp_extract(x, fixed.BIBLE_VERSE_LINE, i).try_cast("int")
     kept = F.filter(F.split(body, "\n"), lambda x: (of(x, 1) == chapter) & of(x, 2).between(first, last))
     return F.when(chapter.isNotNull(), F.array_join(kept, "\n"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeplane import schemas
+from citeplane import fixed, schemas
 from citeplane.functions import formats, text, urls
 from citeplane.operators import constraints, extract, locate, repositories, resolve, search, verify
 from citeplane.sources import payloads, rdf
@@ -138,8 +138,8 @@ def pattern_mint(spark, sf_dir):
 
 @_query(r"""with b as (select 'page' as kind, page_id as id, html as body from pages union all select 'document', doc_id, text from documents),
 h as (select *, lower(ltrim(left(body, 1000), E' \t\n\r\x0b\x0c')) as head from b)
-select kind, id, case when starts_with(head, '<html') or starts_with(head, '<!doctype') or regexp_matches(regexp_replace(head, '^(<!--.*?-->\s*)+', '', 's'), '^<(b|p|a|br|div|font|h[1-6]|style|title|table|iframe|script|pre|body|head|html|!doctype)[\s>/]') or contains(head, '<body') or contains(head, '<head') then 'html'
- when regexp_matches(body, '(?m)^#{1,6}\s') then 'markdown' when regexp_matches(body, '(?m)^={2,6}[^=]') or contains(left(body, 2000), '[[') or contains(left(body, 2000), '{{') then 'wikitext' else 'plain-text' end as format from h""")
+select kind, id, case when starts_with(head, '<html') or starts_with(head, '<!doctype') or regexp_matches(regexp_replace(head, '^(<!--.*?-->\s*)+', '', 's'), '^OPENING') or contains(head, '<body') or contains(head, '<head') then 'html'
+ when regexp_matches(body, '(?m)^#{1,6}\s') then 'markdown' when regexp_matches(body, '(?m)^={2,6}[^=]') or contains(left(body, 2000), '[[') or contains(left(body, 2000), '{{') then 'wikitext' else 'plain-text' end as format from h""".replace("OPENING", fixed.HTML_OPENING_TAG))
 def detect_format(spark, sf_dir):
     both = _table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("body"))
     both = both.unionByName(_table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("body")))

@@ -14,13 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeplane import schemas
+from citeplane.fixed import BIBO, DCTERMS, OA, PROV, RDF, RDFS, SCHEMA, SERIALIZATIONS, XSD
 from citeplane.functions import text as tx
 from citeplane.operators.verify import Citations
 
-_W3 = "http://www.w3.org/"
-RDF, RDFS, XSD, OA, PROV = (_W3 + x for x in ("1999/02/22-rdf-syntax-ns#", "2000/01/rdf-schema#", "2001/XMLSchema#", "ns/oa#", "ns/prov#"))
-DCTERMS, SCHEMA = "http://purl.org/dc/terms/", "https://schema.org/"
-BIBO, CP = "http://purl.org/ontology/bibo/", "urn:citeplane:vocabulary#"
+CP = "urn:citeplane:vocabulary#"
 PREFIXES = {"rdf": RDF, "rdfs": RDFS, "xsd": XSD, "oa": OA, "prov": PROV, "dcterms": DCTERMS, "schema": SCHEMA, "bibo": BIBO, "cp": CP}
 
 
@@ -220,14 +218,11 @@ class UnknownFormat(ValueError):
     """A serialization that isn't offered."""
 
 
-FORMATS = {name: kind for kind, names in (("nt", "nt ntriples n-triples"), ("turtle", "turtle ttl"), ("jsonld", "json-ld jsonld"), ("xml", "xml rdf-xml")) for name in names.split()}
-
-
 def serialize(triples: DataFrame, name: str) -> DataFrame:
     """A column ``value`` of lines or blocks in the named format."""
-    kind = FORMATS.get(name.lower())
+    kind = SERIALIZATIONS.get(name.lower())
     if kind is None:
-        raise UnknownFormat(f"unknown format {name!r}; known: {', '.join(sorted(FORMATS))}")
+        raise UnknownFormat(f"unknown format {name!r}; known: {', '.join(sorted(SERIALIZATIONS))}")
     if kind in ("nt", "turtle"):
         return (n_triples if kind == "nt" else turtle)(triples)
     if kind == "jsonld":

@@ -8,14 +8,9 @@ from string import Formatter
 
 from pyspark.sql import SparkSession
 
-from citeplane import schemas
-from citeplane.functions import formats, urls
+from citeplane import fixed, schemas
 from citeplane.operators.verify import Citations
 
-_PLAIN = ("url", "type", "language", "title", "date", "license", "isbn", "doi", "publisher", "edition")
-SOURCE_KEYS = frozenset((*_PLAIN, "label", "part_of", "fragments"))
-_EXTRA = ("lines", "location", "page_start", "page_end")
-FRAGMENT_KEYS = frozenset("section selector snippet label cited_by".split()) | {*_EXTRA}
 NAMESPACE = "urn:citeplane:"
 
 
@@ -52,7 +47,7 @@ class Pattern:
 
 
 def _shipped() -> list[Pattern]:
-    return [Pattern(re.compile(p.replace("(", "(?P<x>", 1).replace(r"\A", "^").replace(r"\z", "$")), {"url": u.replace("{}", "{x}")}) for p, u in urls.FAMILIES]
+    return [Pattern(re.compile(p), {"url": u}) for p, u in fixed.FAMILIES]
 
 
 def patterns_of(declared: object, origin: str) -> list[Pattern]:
@@ -70,7 +65,7 @@ def patterns_of(declared: object, origin: str) -> list[Pattern]:
         source = entry.get("source")
         if "match" not in entry or not isinstance(source, dict) or not source.get("url"):
             raise Refused(f"{what} needs a match, and a source with a url")
-        _known(source, SOURCE_KEYS - {"label", "fragments"}, f"{what}: source")
+        _known(source, fixed.SOURCE_KEYS - {"label", "fragments"}, f"{what}: source")
         try:
             text = str(entry["match"])
             match = re.compile(text)
@@ -128,7 +123,7 @@ def parse(data: object, origin="<data>") -> Parsed:
     """Rows of a sources file, or a refusal."""
     if not isinstance(data, dict) or "sources" not in data:
         raise Refused(f"{origin}: a list of sources must be at the top")
-    _known(data, frozenset(("sources", "patterns", "base")), origin)
+    _known(data, fixed.TOP_KEYS, origin)
     out = Parsed(_base(data.get("base"), origin), patterns=patterns_of(data.get("patterns"), origin))
     head = out.base + ("" if out.base[-1] in "/:#" else "#") if out.base else NAMESPACE
     minted: dict[str, str] = {}
@@ -149,29 +144,29 @@ def parse(data: object, origin="<data>") -> Parsed:
     for raw in data["sources"] or ():
         label = _text(raw["label"], "label")
         what = f"source {label!r}"
-        _known(raw, SOURCE_KEYS, what)
+        _known(raw, fixed.SOURCE_KEYS, what)
         entry = complete(raw, out.patterns)
         if entry is None:
             raise Refused(f"{what} has no url, and no pattern mints one from its label ({origin})")
         out.entries[label] = entry
-        values = {k: _text(entry[k], f"{what}: {k}") for k in _PLAIN if entry.get(k) is not None}
+        values = {k: _text(entry[k], f"{what}: {k}") for k in fixed.SOURCE_FIELDS if entry.get(k) is not None}
         if "type" in values:
-            values["type"] = formats.MIME.get(values["type"], values["type"])
+            values["type"] = fixed.MIME.get(values["type"], values["type"])
         parent = entry.get("part_of")
         if parent is not None and _text(parent, f"{what}: part_of") not in ids:
             raise Refused(f"{what}: part_of names {parent!r}, which no source here is")
-        out.sources.append((ids[label], label, values.get("url"), values.get("type"), ids[str(parent)] if parent is not None else None, *(values.get(k) for k in _PLAIN[2:])))
+        out.sources.append((ids[label], label, values.get("url"), values.get("type"), ids[str(parent)] if parent is not None else None, *(values.get(k) for k in fixed.SOURCE_FIELDS[2:])))
         for frag in raw.get("fragments") or ():
             if not isinstance(frag, dict) or not frag.get("label"):
                 raise Refused(f"each fragment of {what} needs a label")
             name = _text(frag["label"], "label")
             here = f"fragment {name!r} of {what}"
-            _known(frag, FRAGMENT_KEYS, here)
+            _known(frag, fixed.FRAGMENT_KEYS, here)
             if all(frag.get(k) is None for k in ("snippet", "selector", "section")):
                 raise Refused(f"{here} has no snippet, selector or section: it points at nothing and verifies nothing ({origin})")
             urn = mint("fragment", f"{label} {name}", here)
             cell = lambda k, frag=frag, here=here: None if frag.get(k) is None else _text(frag[k], f"{here}: {k}")
-            out.fragments.append((urn, ids[label], name, *map(cell, ("snippet", "selector", "section", *_EXTRA))))
+            out.fragments.append((urn, ids[label], name, *map(cell, ("snippet", "selector", "section", *fixed.FRAGMENT_FIELDS))))
             out.cite_sites += [(urn, *site) for site in _sites(frag.get("cited_by"), here)]
     return out
 

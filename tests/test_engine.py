@@ -210,21 +210,29 @@ def test_gutenberg(spark):
     page = "<h2>Book I</h2><p>" + "Sing, goddess. " * 8 + "</p><h2>Book II</h2><p>short</p><p>" + "Of arms and the man. " * 6 + "</p><div id='pg-footer'><h2>End</h2><p>" + "licence " * 20 + "</p></div>"
     assert [(n, t) for n, t, _ in payloads.chapters(page)] == [(1, "Book I"), (2, "Book II")]
     files = payloads.gutenberg_files(spark.createDataFrame([("5", page)], "key string, html string"))
-    wanted = [("Aen. II", "5_ch002"), ("chapter:1", "5_ch001"), ("book ii", None), ("a book ii b", None), ("nothing", None)]
+    wanted = [("Aen. II", "5_ch002"), ("Metamorphoses I", "5_ch001"), ("chapter:1", "5_ch001"), ("book ii", None), ("a book ii b", None), ("nothing", None)]
     targets = spark.createDataFrame([("gutenberg", "5", w) for w, _ in wanted], "repo string, key string, location string")
     got = {r["location"]: r["name"] for r in repositories.choose(targets, files).collect()}
     assert got == {w: n for w, n in wanted if n}
     assert repositories.books(files).first()["body"].count("\n\n") == 1
 
 
+@pytest.mark.parametrize(("location", "title"), [("Gen 3:1-6", "Genesis"), ("1 Thess 2:1-3", "First Thessalonians"), ("Song 1:2-4", "The Song of Solomon"), ("3 John 1:1-2", "Third Epistle of John"), ("Xyz 1:1-2", None)])
+def test_bible(spark, location, title):
+    titles = ["Genesis", "First Thessalonians", "The Song of Solomon", "Third Epistle of John"]
+    files = spark.createDataFrame([("gutenberg", "10", t, t, i, "1:1 a\n1:2 b\n3:4 c") for i, t in enumerate(titles)], schemas.REPO_FILES)
+    found = repositories.choose(spark.createDataFrame([("gutenberg", "10", location)], "repo string, key string, location string"), files).first()
+    assert (found and found["name"]) == title
+
+
 def test_wiki(spark):
     names = ["main", "Chapter_1", "Chapter_2", "Notes"]
     files = spark.createDataFrame([("wikisource", "B", n, None, None, n) for n in names], schemas.REPO_FILES)
     wanted = {"section:Notes": "Notes", "section:notes": "Notes", "section:zzz": None, "Chapter_2": "Chapter_2", "x: chapter 2": "Chapter_2", "qqq": "main", "": "Chapter_1"}
     targets = spark.createDataFrame([("wikisource", "B", w) for w in wanted], "repo string, key string, location string")
     assert {r["location"]: r["name"] for r in repositories.choose(targets, files).collect()} == {k: v for k, v in wanted.items() if v}
-    entry = payloads.wiktionary_file("w", "==English==\n\n===Etymology===\nFrom {{der|en}} [[old|Old]] ''w''.\n\n===Noun===\nA thing.\n")
-    assert payloads.wiktionary(entry, "English/Noun") == "A thing." and payloads.wiktionary(entry, "etymology") == "From Old w."
+    entry = payloads.wiktionary_file("w", "==English==\n\n===Etymology===\nFrom {{der|en|la|tr=x|a word}} [[old|Old]] ''w'' {{x|en}}.\n\n===Noun===\nA thing.\n")
+    assert payloads.wiktionary(entry, "English/Noun") == "A thing." and payloads.wiktionary(entry, "etymology") == "From la (a word) Old w {{x|en}}."
     assert payloads.wiktionary("x" * 6000, "other") == ""
 
 
