@@ -136,14 +136,16 @@ def repeated(docs: DataFrame, tokens: Tokens, size: int, gram: int, key: str = "
     loc: Callable[[str], Column] = lambda p: F.struct("k", "th", F.col(p).alias("p")) if later else F.xxhash64("k", "th", p)
     ends = lambda p: (F.min(loc(p)).alias("lo"), F.max(loc(p)).alias("hi"))
     rows = common.materialize(_rows(texts, tokens, size, gram))
+    # What is aggregated is written before it meets its rows again: a join of two plain exchanges is one whose hot keys can
+    # be split, while one that took over the partitions of the aggregation would leave a hot key to one task.
     grams = rows.groupBy("h").agg(*ends("pos"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("lo <> hi").select("h", "lo", F.expr("c0 = c1").alias("even"))
-    found = common.materialize(rows.join(grams, "h"))
+    found = common.materialize(rows.join(common.materialize(grams), "h"))
     begin = F.expr("shiftright(pos, 12) - (shiftright(pos, 6) & 63)")
     spans = lambda df: df.select("k", "th", begin.alias("start"), (begin + F.expr("(pos & 63)") + size).alias("end"))
     even = found.where("even").where(loc("pos") != F.col("lo")) if later else found.where("even")
     mixed = found.where("not even").drop("lo", "even")
     classes = mixed.groupBy("h", "c").agg(*ends("pos"))
-    mixed = common.materialize(mixed.join(classes, ["h", "c"]))
+    mixed = common.materialize(mixed.join(common.materialize(classes), ["h", "c"]))
     several = mixed.where("lo <> hi")
     several = several.where(loc("pos") != F.col("lo")) if later else several
     heads = mixed.where(loc("pos") == F.col("lo")).groupBy("k", "th").agg(F.collect_set(F.struct("h", "pos")).alias("runs"))
@@ -151,7 +153,7 @@ def repeated(docs: DataFrame, tokens: Tokens, size: int, gram: int, key: str = "
     wide = texts.join(heads, (F.col("th") == F.col("hth")) & F.col("k").eqNullSafe(F.col("hk"))).select("k", "th", "__text", "runs")
     wide = common.materialize(_windows(wide, tokens, size))
     shared = wide.groupBy("h", "wh").agg(*ends("start")).where("lo <> hi").select("h", "wh", "lo")
-    single = wide.join(shared, ["h", "wh"])
+    single = wide.join(common.materialize(shared), ["h", "wh"])
     single = single.where(loc("start") != F.col("lo")) if later else single
     return spans(even).unionByName(spans(several)).unionByName(single.select("k", "th", "start", (F.col("start") + size).alias("end")))
 
