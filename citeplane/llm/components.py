@@ -16,7 +16,8 @@ from .common import materialize
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("m").alias("a"), "b").where("a <> b")
+    # Written first, so that the join meets plain exchanges and can split the links of a hub.
+    return both.where("b > a").join(materialize(least), F.col("a") == F.col("k")).select(F.col("m").alias("a"), "b").where("a <> b")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
