@@ -196,19 +196,26 @@ def near_duplicates(docs: DataFrame, id_cols: list[str], key: str = "doc_id", te
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates: that with the least ``key``; of repeated rows with it, one.
+    """One document of each group of near-duplicates: that with the least ``key``; of several rows with it, one.
 
-    Where a group has no row with a key, one of its rows without stays as well.
+    Where a group has no row with a key, one of its rows without stays. Groups are told apart by their fingerprints, so
+    rows without a key, or different texts with one key, stay once for each group they are in.
     """
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     at = f"c{names.index(key)}"
-    found = near_duplicates(docs, [key], key, text_col)
-    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
-    # The join leaves the rows dealt by the key, and repeated rows of one document are ranked where they are.
-    same = Window.partitionBy(at).orderBy(*(F.col(f.name) for f in plain.schema.fields if not isinstance(f.dataType, T.MapType)))
-    rows = plain.join(kept, F.col(at).eqNullSafe(F.col("__kept")), "left_semi")
-    return rows.withColumn("__rank", F.row_number().over(same)).where("__rank = 1").drop("__rank").toDF(*names)
+    # A row is known by 128 bits of all it holds; nulls leave a hash as it is, so they are told apart by a flag.
+    held = [x for f in plain.schema.fields if not isinstance(f.dataType, T.MapType) for x in (F.col(f.name), F.col(f.name).isNull())]
+    plain = plain.select("*", *(F.xxhash64(F.lit(i), *held).alias(f"__r{i}") for i in range(2)))
+    prints = common.materialize(fingerprints(plain, [at, "__r0", "__r1"], f"c{names.index(text_col)}"))
+    nodes = components(links(prints))
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col(at).isNull(), at, "__r0", "__r1")).alias("first"))
+    rooted = first.join(nodes, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__r0").alias("__k0"), F.col("first.__r1").alias("__k1"))
+    # Only rows that are equal in all are ranked together, each task's own before they are dealt; the join takes them as dealt.
+    same = Window.partitionBy("__r0", "__r1").orderBy("__r0")
+    rows = plain.withColumn("__rank", F.row_number().over(same)).where("__rank = 1")
+    return rows.join(kept, (F.col("__r0") == F.col("__k0")) & (F.col("__r1") == F.col("__k1")), "left_semi").drop("__rank", "__r0", "__r1").toDF(*names)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -352,6 +352,14 @@ def test_simhash_equals_brute_force(docs):
     assert sorted(x["doc_id"] for x in kept) == sorted(least.values())
 
 
+def test_one_of_each_group_stays_without_an_id_or_with_a_shared_one(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in ("one", "two", "three"))
+    data = [(None, one, "a"), (None, one, "a"), (None, two, None), (None, two, "b"), (7, one.upper(), "a"), (8, two[::-1], "a"), (8, three, "a"), (8, three, "a"), (None, "x y z", "a"), (None, "v w", "a")]
+    kept = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)).collect()
+    want = [(7, one.upper()), (8, three), (8, two[::-1]), (None, two), (None, "v w"), (None, "x y z")]
+    assert sorted((str(x["doc_id"]), x["text"]) for x in kept) == sorted((str(d), t) for d, t in want)
+
+
 @pytest.mark.parametrize("small", [4, 40, 10_000])
 def test_links_connect_all_within_the_radius(spark, small):
     r = random.Random(small)
