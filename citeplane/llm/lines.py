@@ -4,6 +4,10 @@ The fingerprints are the least line hashes of each window of ``RUN`` lines, whic
 same place (winnowing's guarantee); places meet by fingerprint, matches are extended to both sides (see repeats.py), and
 a line goes if a window that covers it stands at an earlier place: by doc_id, then by position.
 
+With ``long``, as the pipeline has it, shorter runs of that many words (split at ASCII white space) go too: they meet by
+the hash of the whole run, and runs of fewer words are left out before anything moves. The query op6 is defined by its
+SQL, which knows runs of ``RUN`` lines only.
+
 Lines count without the white space at their ends; blank lines are no part of a run, and those between two deleted
 lines go with them. Defined results: a null text stays null and counts as empty; a document may lose all its lines and
 then stays with an empty text; rows that repeat a document with the same text are one document, of which each row loses
@@ -21,9 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .repeats import merged, repeated
+from .repeats import Hashes, merged, repeated
 
 RUN = 3
+#: Words from which a run of fewer lines than ``RUN`` is long enough to go as well, where asked for.
+LONG = 50
 
 
 def line_hashes(text: str) -> np.ndarray:
@@ -52,10 +58,46 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
     return ("\n".join(kept) if gone else text), at, gone
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def long_runs(text: str, run: int, long: int) -> tuple[np.ndarray, ...]:
+    """h, c, start and end of each run of fewer than ``run`` lines that holds ``long`` words."""
+    words = [n for line in text.split("\n") if line.strip() for n in (len(line.encode().split()),)]
+    upto = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    start = [np.flatnonzero(upto[size:] - upto[:-size] >= long) for size in range(1, min(run, len(upto)))] if upto[-1] >= long else []
+    if not start:
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+    end = np.concatenate([x + size for size, x in enumerate(start, 1)])
+    start = np.concatenate(start)
+    hashes = Hashes(line_hashes(text))
+    return hashes.of(0, start, end), hashes.of(1, start, end), start, end
+
+
+def repeated_long(docs: DataFrame, run: int, long: int, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(k, th, start, end): runs as ``long_runs`` finds them that stood earlier, as ``repeated`` gives them."""
+    texts = common.texts(docs, [key], text_col).toDF("k", "__text").select("k", F.xxhash64("__text").alias("th"), "__text")
+    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("h", "c", "start", "end")] + texts.drop("__text").schema.fields)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, 2):
+                got = [long_runs(t.as_py(), run, long) for t in part.column(2)]
+                keys = part.select([0, 1]).take(pa.array(np.repeat(np.arange(len(got)), [len(g[0]) for g in got]), pa.int64()))
+                columns = [pa.array(np.concatenate([g[i] for g in got]).view(np.int64), pa.int64()) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([*columns, *keys.columns], names=[f.name for f in schema.fields])
+
+    rows = common.materialize(texts.mapInArrow(find, schema))
+    place = F.struct("k", "th", "start")
+    # Written before it meets its rows again, so that the join can split a hot key (see repeats.py).
+    first = common.materialize(rows.groupBy("h", "c").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h", "c", "lo"))
+    return rows.join(first, ["h", "c"]).where(place != F.col("lo")).select("k", "th", "start", "end")
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text", run: int = RUN, long: int | None = None) -> DataFrame:
     """All columns of ``docs``, the text without later repeated runs, then n_lines and n_deleted."""
     names = docs.columns
-    found = merged(repeated(docs, line_hashes, run, 1, key, text_col, later=True)).toDF("__k", "__th", "__spans")
+    spans = repeated(docs, line_hashes, run, 1, key, text_col, later=True)
+    if long is not None:
+        spans = spans.unionByName(repeated_long(docs, run, long, key, text_col))
+    found = merged(spans).toDF("__k", "__th", "__spans")
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     k, t = f"c{names.index(key)}", f"c{names.index(text_col)}"
     rows = plain.withColumn("th", F.xxhash64(common.text_of(t))).join(found, (F.col("th") == F.col("__th")) & F.col(k).eqNullSafe(F.col("__k")), "left")

@@ -25,7 +25,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents may end up with an empty text; n_chars follows the text."""
     ship(spark)
     names = docs.columns
-    found = lines.dedup_lines(docs).toDF(*(f"c{i}" for i in range(len(names))), "n_lines", "n_deleted")
+    found = lines.dedup_lines(docs, long=lines.LONG).toDF(*(f"c{i}" for i in range(len(names))), "n_lines", "n_deleted")
     if "n_chars" in names:
         n, t = (f"c{names.index(x)}" for x in ("n_chars", "text"))
         found = found.withColumn(n, F.when(F.col("n_deleted") > 0, F.length(t).cast(docs.schema[names.index("n_chars")].dataType)).otherwise(F.col(n)))

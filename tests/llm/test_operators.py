@@ -247,6 +247,28 @@ def test_line_dedup_equals_brute_force(spark, docs, run):
         assert (x["n_lines"], x["n_deleted"], left) in by[x["doc_id"]]
 
 
+def test_pipeline_drops_long_runs_of_one_or_two_lines(spark):
+    import corpus_pipeline
+
+    r = random.Random(5)
+    line = lambda n: " ".join(r.choice("abcdefgh") + str(r.randrange(99)) for _ in range(n))
+    pool = [line(n) for n in (50, 49, 30, 30, 20, 19, 60, 5, 5, 5)]
+    data = [(1, pool[0]), (2, pool[0]), (3, pool[1]), (4, pool[1]), (5, f"{pool[2]}\n\n {pool[4]}"), (6, f"x\n{pool[2]} \n{pool[4]}\ny"), (7, f"{pool[3]}\n{pool[5]}"), (8, f"{pool[3]}\n{pool[5]}"), (9, None), (10, "")]
+    data += [(20 + i, "\n".join(r.choice(pool) for _ in range(r.randrange(6)))) for i in range(60)]
+    words, first, want = (lambda run: sum(len(x.split()) for x in run)), {}, {}
+    split = {d: [x.strip() for x in (t or "").split("\n") if x.strip()] for d, t in data}
+    windows = [(d, p, n, tuple(l[p : p + n])) for d, l in split.items() for n in (1, 2, 3) for p in range(len(l) - n + 1)]
+    windows = [w for w in windows if w[2] == 3 or words(w[3]) >= 50]
+    for d, p, _, w in windows:
+        first[w] = min(first.get(w, (d, p)), (d, p))
+    for d, l in split.items():
+        gone = {q for e, p, n, w in windows if e == d and first[w] != (d, p) for q in range(p, p + n)}
+        want[d] = [x for i, x in enumerate(l) if i not in gone]
+    assert want[2] == [] and want[4] == [pool[1]] and want[6] == ["x", "y"] and want[8] == [pool[3], pool[5]]
+    got = corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(data, "doc_id long, text string").repartition(3), "").collect()
+    assert {x["doc_id"]: [y.strip() for y in (x["text"] or "").split("\n") if y.strip()] for x in got} == want
+
+
 def test_untouched_text_keeps_every_character():
     assert lines.without("a\n\n b \n", []) == ("a\n\n b \n", 2, 0)
     assert lines.without("a\n\nb\n\nc\n\nd", [(1, 3)])[0] == "a\n\n\nd"
