@@ -2,15 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from sys import getsizeof
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeplane.scratch import materialize
 
-__all__ = ["BROADCAST_BYTES", "fits", "materialize", "pick", "slices", "table", "text_of", "texts"]
+__all__ = ["BROADCAST_BYTES", "Memo", "fits", "materialize", "pick", "slices", "table", "text_of", "texts"]
 
 #: Largest thing, in bytes, that an operator of this package ships to every executor.
 BROADCAST_BYTES = 64 << 20
+#: Bytes that one generation of a worker's memo holds.
+MEMO_BYTES = 16 << 20
+
+
+class Memo(dict):
+    """What ``make`` gives for a key, remembered in two generations: a full younger one becomes the older one, which goes.
+
+    What is used stays, at most twice ``limit`` bytes are held, and no result depends on it. ``size`` is the bytes of a
+    value; a large entry is made again each time.
+    """
+
+    def __init__(self, make: Callable, size: Callable = getsizeof, limit: int = MEMO_BYTES):
+        self.make, self.size, self.limit, self.older, self.held = make, size, limit, {}, 0
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        n = getsizeof(key) + self.size(value) + 100
+        if n > self.limit >> 8:
+            return value
+        self.held += n
+        if self.held > self.limit:
+            self.older, self.held = dict(self), n
+            self.clear()
+        self[key] = value
+        return value
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,6 +8,8 @@ the longest verbatim matches. A shard never leaves its task, so nothing is shuff
 The benchmark is sent to the tasks in blocks of a checked size; each further block is one more pass over the rows of
 the same task, so its size has no bound and the documents still don't move.
 
+``decontaminate`` drops the documents that op2 calls contaminated, ``without_affected`` all with a match.
+
 Defined results: a null text has no words; a document without words is clean; a benchmark row without words has no
 window; repeated benchmark rows count once by item_id; a row without an item_id marks words but is not listed;
 repeated documents are judged each; empty tables give no rows or clean documents.
@@ -152,6 +154,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     return _judged(matches(docs, benchmark, **options), len(names)).where("not contaminated").select(*(f"c{i}" for i in range(len(names)))).toDF(*names)
 
 
+def without_affected(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` without those that hold any window of an item, however long they are."""
+    names = docs.columns
+    found = matches(docs, benchmark, **options).toDF(*(f"c{i}" for i in range(len(names))), "n_words", "spans", "items")
+    return found.where("size(spans) = 0").drop("n_words", "spans", "items").toDF(*names)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = (common.table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     found = _judged(matches(common.pick(docs, ["doc_id", "text"]), bench), 2)

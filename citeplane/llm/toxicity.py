@@ -2,7 +2,7 @@
 
 A token with digits, symbols or letters repeated three times and more is a lattice of characters: each sign may stand
 for some letters, for none, or for a border, each run for one letter, two, or itself; single characters set apart by
-spaces form one token. Viterbi's algorithm finds the likeliest letters under a character trigram model that is counted
+white space form one token, with a border or none at each gap. Viterbi's algorithm finds the likeliest letters under a character trigram model that is counted
 over all documents (64 classes of characters, so at most 2^18 counts reach the driver and the executors). A token
 without such signs is its own only path and needs no search.
 
@@ -10,6 +10,7 @@ The scorer: features of restored words are the word and its beginnings, hashed t
 log-odds, comes from at most ``SAMPLE`` labelled documents, as counts; the score is a logistic function of a document's
 three strongest words and its length, fitted by Newton's method to evidence from the other half of the sample.
 
+A slice of about 4 MB of texts is worked on at a time and nothing else is remembered, so a worker's memory is bounded.
 Documents never move: the sample's ids, bounded by ``SAMPLE``, are broadcast; each pass is one scan. Defined results: a
 null text is empty and gets the score of no evidence; repeated rows are scored each; a null doc_id is not held out and
 has no label; of repeated labels 1 decides; null labels are left out; without labels of both kinds every score is the
@@ -21,7 +22,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +38,8 @@ THRESHOLD = 0.3
 BITS = 20
 TOP = 3
 SHRINK = 4.0
-MEMO = 200_000
+#: Edges after which the search settles on the best path so far, so that its memory is bounded on tokens of any length.
+SETTLE = 256
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåçéèêëíìîïñóòôöõúùûüýÿœæßø"
 _CLASS = np.full(0x250, 63, dtype=np.int64)
 for _c in range(0x250):
@@ -46,9 +47,12 @@ for _c in range(0x250):
 _OF = {c: i + 1 for i, c in enumerate(LETTERS)}
 #: What a sign may stand for, besides nothing and a border.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou", "#": "h", "&": "e"}
-LETTER_COST, NOTHING_COST, BORDER_COST, KEEP_COST = 1.0, 2.5, 3.0, 4.0
+LETTER_COST, NOTHING_COST, BORDER_COST, KEEP_COST, GAP_COST = 1.0, 2.5, 3.0, 4.0, 0.5
 _TRIPLE = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\S\s{1,3}){2,}\S(?!\S)")
+_BLANKS = re.compile(r"\s+")
+#: What stands between the letters of a spaced run: one blank, more likely no border, or more than that, more likely one.
+NARROW, WIDE = "\0", "\1"
 #: Stripped from both ends of a token; signs inside it, and dollar and at signs at its ends, may stand for letters.
 _EDGES = ".,;:!?\"'`()[]{}<>*#%&$@|~^_-+=/\\…–—«»„“”"
 _PLAIN = re.compile(r"[^\W\d_]+")
@@ -78,7 +82,7 @@ def count_trigrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return common.texts(docs, [], text_col).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def log_model(code: list[int], n: list[int]) -> np.ndarray:
+def log_model(code: np.ndarray | list[int], n: np.ndarray | list[int]) -> np.ndarray:
     """Log-probabilities of the third class after the first two, smoothed by shorter contexts."""
     c3 = np.zeros(1 << 18)
     c3[code] = n
@@ -91,6 +95,14 @@ def log_model(code: list[int], n: list[int]) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+def _spelled(path: tuple) -> str:
+    out = []
+    while path:
+        path, text = path
+        out.append(text)
+    return "".join(reversed(out))
+
+
 class Restorer:
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
@@ -102,7 +114,9 @@ class Restorer:
             while end < len(token) and token[end] == c:
                 end += 1
             n = end - at
-            if c.isalpha():
+            if c in (NARROW, WIDE):
+                yield [("", GAP_COST * (c == WIDE)), (" ", GAP_COST * (c == NARROW))]
+            elif c.isalpha():
                 yield [(c * n, 0.0)] if n < 3 else [(c, LETTER_COST), (c * 2, LETTER_COST), (c * n, KEEP_COST)]
             else:
                 out = [("", NOTHING_COST), (" ", BORDER_COST)]
@@ -117,7 +131,8 @@ class Restorer:
         """The likeliest letters of a token in lower case; a border is a space."""
         model = self.model
         best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-        for options in self._edges(token):
+        settled: list[str] = []
+        for at, options in enumerate(self._edges(token), 1):
             now: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (score, path) in best.items():
                 for text, cost in options:
@@ -129,16 +144,18 @@ class Restorer:
                     if (x, y) not in now or s > now[x, y][0]:
                         now[x, y] = s, (path, text) if text else path
             best = now
+            if at % SETTLE == 0:
+                end = max(best, key=lambda k: (best[k][0], k))
+                settled.append(_spelled(best[end][1]))
+                best = {end: (0.0, ())}
         end = max(best, key=lambda k: (best[k][0] + (model[k[0]][k[1]][0] if k != (0, 0) else 0.0), k))
-        out, path = [], best[end][1]
-        while path:
-            path, text = path
-            out.append(text)
-        return "".join(reversed(out))
+        return "".join([*settled, _spelled(best[end][1])])
 
     def words(self, token: str) -> set[str]:
         """Words of a token as it stands and as restored, in lower case."""
         token = token.lower()
+        if NARROW in token or WIDE in token:
+            return {x for part in token.split(WIDE) if (x := part.replace(NARROW, "")).isalpha()} | set(self.viterbi(token).split())
         if token.isalpha() and not _TRIPLE.search(token):
             return {token}
         found = set(_PLAIN.findall(token))
@@ -156,12 +173,24 @@ def tokens_of(text: str) -> set[str]:
     found = set(text.split())
     for run in _SPACED.findall(text):
         found.add("".join(run.split()))
+        found.add(_BLANKS.sub(lambda m: NARROW if m[0] in " \t" else WIDE, run))
     return found
 
 
-def features_of(word: str) -> set[int]:
-    mask = (1 << BITS) - 1
-    return {zlib.crc32(x.encode()) & mask for x in ("=" + word, *("^" + word[:n] for n in range(3, 8) if len(word) >= n))}
+def features_of(words: list[str]) -> np.ndarray:
+    """A row for each word: hashes of the word and of its beginnings of 3 to 7 letters; 2^BITS where it has no such beginning."""
+    mask = np.uint64((1 << BITS) - 1)
+    letters = np.array(words, dtype="U7").view(np.uint32).reshape(-1, 7).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    out = np.full((len(words), 6), 1 << BITS, dtype=np.int64)
+    out[:, 0] = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) & int(mask)
+    h = np.full(len(words), 0x9E3779B97F4A7C15, dtype=np.uint64)
+    for n in range(7):
+        h = (h ^ letters[:, n]) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        if n >= 2:
+            out[:, n - 1] = np.where(size > n, (h & mask).astype(np.int64), 1 << BITS)
+    return out
 
 
 def held_out(doc_id: str) -> Column:
@@ -174,31 +203,47 @@ def _evidence(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return (np.log(p / (1 - p)) - math.log(base / (1 - base))).astype(np.float32)
 
 
+def spelled_out(restorer: Restorer, texts: list[str]) -> tuple[list[set[str]], dict[str, int], list[str], np.ndarray]:
+    """The tokens of each text; a number for each distinct token; all their words in a row, and where each token's begin."""
+    tokens = [tokens_of(t) for t in texts]
+    number = {t: i for i, t in enumerate(set().union(*tokens))}
+    words, ends = [], [0]
+    for token in number:
+        words += restorer.words(token)
+        ends.append(len(words))
+    return tokens, number, words, np.array(ends)
+
+
 class Scorer:
-    """Strongest words of documents, by tables of evidence for each way of scoring."""
+    """Strongest words of documents, by tables of evidence for each way of scoring; nothing is kept between calls."""
 
     def __init__(self, model: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]]):
         self.restorer = Restorer(model)
-        self.tables = [dict(zip(i.tolist(), v.tolist())) for i, v in tables]
-        self.memo: list[dict[str, tuple]] = [{} for _ in tables]
-
-    def inputs(self, text: str, table: int = 0) -> list[float]:
-        get, memo = self.tables[table].get, self.memo[table]
-        if len(memo) > MEMO:
-            memo.clear()
-        strong: dict[str, float] = {}
-        n = 0
-        for token in tokens_of(text):
-            n += 1
-            found = memo.get(token)
-            if found is None:
-                found = tuple((w, v) for w in self.restorer.words(token) if (v := max(map(get, features_of(w), (0.0,) * 6))) > 0)
-                if len(token) < 64:
-                    memo[token] = found
-            for w, v in found:
-                strong[w] = v
-        top = sorted(strong.values(), reverse=True)[:TOP]
-        return [*top, *[0.0] * (TOP - len(top)), math.log1p(n)]
+        self.tables = []
+        for i, v in tables:
+            table = np.zeros((1 << BITS) + 1, dtype=np.float32)
+            table[i] = v
+            self.tables.append(table)
+
+    def inputs(self, texts: list[str], which: list[int] | None = None) -> np.ndarray:
+        """A row for each text: its strongest words' evidence and the logarithm of its tokens; ``which`` names their tables."""
+        tokens, number, words, ends = spelled_out(self.restorer, texts)
+        found = features_of(words)
+        out = np.zeros((len(texts), TOP + 1))
+        for t in sorted(set(which or [0])):
+            best = self.tables[t][found].max(axis=1, initial=0)
+            known = np.flatnonzero(best)
+            owner, names = np.searchsorted(ends, known, "right") - 1, list(number)
+            strong: dict[str, list[tuple[str, float]]] = {}
+            for o, w in zip(owner.tolist(), known.tolist()):
+                strong.setdefault(names[o], []).append((words[w], float(best[w])))
+            keys = set(strong)
+            for row, (own, k) in enumerate(zip(tokens, which or [0] * len(texts))):
+                if k == t:
+                    top = sorted(dict(x for token in own & keys for x in strong[token]).values(), reverse=True)[:TOP]
+                    out[row, : len(top)] = top
+        out[:, TOP] = np.log1p([len(own) for own in tokens])
+        return out
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
@@ -217,35 +262,37 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
 def score(docs: DataFrame, labels: DataFrame, names: list[str] = ["doc_id"], key: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:  # noqa: B006
     """``names``, held_out, score and predicted of every document."""
     spark = docs.sparkSession
-    counts = count_trigrams(docs, text_col).orderBy("code").collect()
-    model = spark.sparkContext.broadcast(log_model([r["code"] for r in counts], [r["n"] for r in counts]))
+    counts = count_trigrams(docs, text_col).toArrow()
+    model = spark.sparkContext.broadcast(log_model(counts.column("code").to_numpy(), counts.column("n").to_numpy()))
     known = common.pick(labels, [key, label]).toDF("k", "y").where("k is not null and y is not null").where(~held_out("k"))
     known = known.groupBy("k").agg(F.max("y").cast("int").alias("y")).where("y in (0, 1)").orderBy(F.xxhash64("k"), "k").limit(sample)
     known = common.materialize(known.withColumn("fold", F.shiftright(F.xxhash64("k"), 7).bitwiseAND(F.lit(1)).cast("int")))
     texts = common.texts(docs, [key], text_col).toDF("k", "__text").join(F.broadcast(known), "k").select("y", "fold", "__text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, seen, memo = Restorer(model.value), Counter(), {}
+        restorer, seen = Restorer(model.value), np.zeros((4, (1 << BITS) + 1), dtype=np.int32)
         for batch in batches:
-            for y, fold, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found: set[int] = {-1}
-                for token in tokens_of(text):
-                    if token not in memo:
-                        if len(memo) > MEMO:
-                            memo.clear()
-                        memo[token] = {f for w in restorer.words(token) for f in features_of(w)}
-                    found |= memo[token]
-                seen.update((f, fold, y) for f in found)
-        rows = list(zip(*((*k, n) for k, n in seen.items()))) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["f", "fold", "y", "n"])
-
-    sums = texts.mapInArrow(count, "f long, fold long, y long, n long").groupBy("f").agg(*(F.coalesce(F.sum(F.when((F.col("fold") == i) & (F.col("y") == y), F.col("n"))), F.lit(0)).alias(f"n{i}{y}") for i in (0, 1) for y in (0, 1)))
-    # At most 2^BITS rows, fewer as only features of two toxic documents or more are evidence.
-    rows = sums.where("f = -1 or n01 + n11 >= 2").orderBy("f").collect()
-    total = {k: int(rows[0][k]) if rows and rows[0]["f"] == -1 else 0 for k in ("n00", "n01", "n10", "n11")}
-    rows = [r for r in rows if r["f"] >= 0]
-    f = np.array([r["f"] for r in rows], dtype=np.int64)
-    c = {k: np.array([r[k] for r in rows], dtype=np.float64) for k in total}
+            for part in common.slices(batch, 2):
+                tokens, number, words, ends = spelled_out(restorer, part.column(2).to_pylist())
+                found = features_of(words)
+                for y, fold, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), tokens):
+                    rows = [found[ends[n] : ends[n + 1]].ravel() for n in map(number.__getitem__, own)]
+                    seen[2 * fold + y, np.unique(np.concatenate([*rows, [1 << BITS]]))] += 1
+        f = np.flatnonzero(seen.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(f), *(pa.array(n[f].astype(np.int64)) for n in seen)], names=["f", *kinds])
+
+    # Documents with a feature, by fold and label; one feature more, 2^BITS, is had by all.
+    kinds = ("n00", "n01", "n10", "n11")
+    sums = texts.mapInArrow(count, "f long, " + ", ".join(f"{k} long" for k in kinds)).groupBy("f").agg(*(F.sum(k).alias(k) for k in kinds))
+    # At most 2^BITS rows, fewer as only features of two toxic documents or more are evidence; as arrays.
+    rows = sums.where(f"f = {1 << BITS} or n01 + n11 >= 2").toArrow()
+    f = rows.column("f").to_numpy()
+    order = np.argsort(f)
+    f, c = f[order], {k: rows.column(k).to_numpy()[order].astype(np.float64) for k in kinds}
+    every = len(f) > 0 and f[-1] == 1 << BITS
+    total = {k: int(v[-1]) if every else 0 for k, v in c.items()}
+    if every:
+        f, c = f[:-1], {k: v[:-1] for k, v in c.items()}
 
     def made(*folds: int) -> tuple[np.ndarray, np.ndarray]:
         n1, n0 = (sum(total[f"n{i}{y}"] for i in folds) for y in (1, 0))
@@ -260,13 +307,14 @@ def score(docs: DataFrame, labels: DataFrame, names: list[str] = ["doc_id"], key
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value, sent.value)
         for batch in batches:
-            got = [(y, *scorer.inputs(text, 1 + fold)) for y, fold, text in zip(*(c.to_pylist() for c in batch.columns))]
-            yield pa.RecordBatch.from_arrays([pa.array([float(g[i]) for g in got], pa.float64()) for i in range(TOP + 2)], names=[f"x{i}" for i in range(TOP + 2)])
+            for part in common.slices(batch, 2):
+                x = scorer.inputs(part.column(2).to_pylist(), [1 + fold for fold in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy().astype(np.float64)), *map(pa.array, x.T)], names=[f"x{i}" for i in range(TOP + 2)])
 
     weights = np.array([0.0] * (TOP + 1) + [math.log((n1 + 0.5) / (n0 + 0.5)) if n1 or n0 else math.log(0.05 / 0.95)])
     if n1 and n0:
         # A row of TOP + 2 numbers for each sampled document.
-        x = np.array([tuple(r) for r in texts.mapInArrow(inputs, ", ".join(f"x{i} double" for i in range(TOP + 2))).collect()])
+        x = np.column_stack([v.to_numpy() for v in texts.mapInArrow(inputs, ", ".join(f"x{i} double" for i in range(TOP + 2))).toArrow().columns])
         x = x[np.lexsort(x.T)]
         weights = _fit(x[:, 1:], x[:, 0])
 
@@ -279,8 +327,9 @@ def score(docs: DataFrame, labels: DataFrame, names: list[str] = ["doc_id"], key
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value, sent.value[:1])
         for batch in batches:
-            x = np.array([[*scorer.inputs(t.as_py() or ""), 1.0] for t in batch.column(at)]).reshape(-1, TOP + 2)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in out), pa.array(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))], names=[f.name for f in schema.fields])
+            for part in common.slices(batch, at):
+                x = scorer.inputs([t or "" for t in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in out), pa.array(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))], names=[f.name for f in schema.fields])
 
     return rows.mapInArrow(run, schema).select(*names, held_out(key).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
