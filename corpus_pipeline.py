@@ -38,7 +38,8 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(docs, common.table(ship(spark), sf_dir, "benchmark"))
+    """Every document that holds a benchmark passage goes, however small a part of it that is."""
+    return decontaminate.without_affected(docs, common.table(ship(spark), sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
