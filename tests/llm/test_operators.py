@@ -60,6 +60,30 @@ def test_repeats_random_small_alphabet(spark):
     assert found == {d: v for (d, _), v in brute_passages(data, 7, str.split).items()}
 
 
+@pytest.mark.parametrize(("partitions", "group"), [(1, 4000), (7, 3), (3, 0), (40, 20)])
+def test_sorted_suffixes_over_any_partitions_and_groups(spark, partitions, group):
+    """Hot contexts and grams over the ends of partitions, in tasks of few rows and of many, and by windows where a group is large."""
+    r = random.Random(partitions)
+    hot = " ".join(f"hot{i % 7}" for i in range(12))
+    texts = [" ".join(r.choice("abc") for _ in range(r.randrange(40))) for _ in range(60)] + [hot] * 30 + [f"x{i} {hot} y{i % 3}" for i in range(25)] + [None, "", "a"]
+    data = [(i if i % 9 else None, t) for i, t in enumerate(texts)] + [(5, texts[5])] * 20
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = suffixes.repeated_passages(df, passage=7, gram=3, group=group).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got, want = defaultdict(list), defaultdict(list)
+    for x in found:
+        got[x["k"]].append(sorted({p for s in x["spans"] for p in range(s["start"], s["end"])}))
+    for (d, _), v in brute_passages(data, 7, str.split).items():
+        want[d].append(sorted(v))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_minimiser_rows_tile_the_windows():
     x = np.random.default_rng(1).integers(0, 4, 500).astype(np.uint64)
     _, _, m, first, last = repeats.minimisers(x, 20, 6)
