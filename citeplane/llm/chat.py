@@ -1,8 +1,14 @@
 """Operator 3, chat formatting by schema fingerprints.
 
-A record's fingerprint is the hash of those nested field paths, among the paths that any layout knows, that it has; it
-selects the declarative mapping that turns the record into canonical turns (role, text). A table with one row for each
-turn has a fingerprint as well, that of its columns. Turns are then laid out by one template:
+A record is a JSON text or a struct. Its nested field paths are those that it has: ``$.messages[].role`` stands for a
+field of the elements of a list, and a list has its elements' fields if any of them does, or if it is empty. For each
+layout, in order of preference, the hash of those of its paths that the record has is compared with the hash of all its
+paths; the first that agrees gives the declarative mapping to canonical turns (role, text). ``fingerprint`` is the hash
+of all known paths that the record has, and ``unused`` lists those that the chosen mapping doesn't read, so nothing is
+left out silently. A table with one row for each turn is gathered into records first: columns are paths of its rows, and
+the first known set of them that it has names the conversation, the order, the role and the text.
+
+Turns are then laid out by one template:
 
     <|im_start|>role\\n text <|im_end|>\\n        (without the blanks)
 
@@ -13,96 +19,179 @@ mask is kept as run lengths for each turn (lead, loss, tail; in characters of th
 Only DataFrame functions. Rows of a conversation meet in one aggregation, pre-aggregated by task: one conversation is one
 output value, which no layout can split.
 
-Defined results: a null role or text is empty; turns of equal number are ordered by role and text, nulls first; a null
-conv_id is one conversation; a record that no layout fits is kept with layout null and no turns; an empty table gives none.
+Defined results: a null role or text is empty, and so is one that an element of a list lacks; turns of equal number are
+ordered by role and text, nulls first; a null conv_id is one conversation; a record that no layout fits, or that is no
+record, is kept with layout null and turns null; an empty list gives no turns; further columns and fields are ignored; an
+empty table gives none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 _CONTROL = r"\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?SYS>>|/?INST\]"
 ASSISTANT = "assistant"
+#: Names that speakers have in some layouts.
+ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 @dataclass(frozen=True)
 class Layout:
-    """paths: those a record of this layout has, among all known ones; turns: SQL over the variant ``v``."""
+    """Turns that single fields hold, each (role, fields joined by a blank line), then those of a list (field, role, text)."""
 
     name: str
-    paths: tuple[str, ...]
-    turns: str
+    said: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    listed: tuple[str, str, str] | None = None
 
+    @property
+    def paths(self) -> tuple[str, ...]:
+        field, role, text = self.listed or ("", "", "")
+        return tuple(sorted({f"$.{f}" for _, fs in self.said for f in fs} | ({f"$.{field}[].{role}", f"$.{field}[].{text}"} if field else set())))
 
-def _turn(role: str, path: str) -> str:
-    return f"named_struct('role', '{role}', 'text', coalesce(try_variant_get(v, '{path}', 'string'), ''))"
 
+_LISTS = (("messages", "role", "content"), ("conversations", "from", "value"), ("turns", "role", "text"))
+_USER, _SYSTEM, _ASSISTANT = "user", "system", "assistant"
+#: In order of preference: a list of turns before single fields, the more specific before what it includes.
+LAYOUTS = (
+    *(Layout(f"system_{x[0]}", ((_SYSTEM, ("system",)),), x) for x in _LISTS),
+    *(Layout(x[0], (), x) for x in _LISTS),
+    Layout("instruction_input", ((_USER, ("instruction", "input")), (_ASSISTANT, ("output",)))),
+    Layout("instruction", ((_USER, ("instruction",)), (_ASSISTANT, ("output",)))),
+    Layout("system_prompt_response", ((_SYSTEM, ("system",)), (_USER, ("prompt",)), (_ASSISTANT, ("response",)))),
+    Layout("prompt_response", ((_USER, ("prompt",)), (_ASSISTANT, ("response",)))),
+    Layout("prompt_completion", ((_USER, ("prompt",)), (_ASSISTANT, ("completion",)))),
+    Layout("question_answer", ((_USER, ("question",)), (_ASSISTANT, ("answer",)))),
+)
 
-def _pair(name: str, asked: str, answered: str) -> Layout:
-    return Layout(name, (asked, answered), f"array({_turn('user', asked)}, {_turn('assistant', answered)})")
 
+@dataclass(frozen=True)
+class Reader:
+    """How a kind of record is read: whether it has a path, a field's text, and a list's elements as (role, text)."""
 
-def _listed(name: str, field: str, role: str, text: str) -> Layout:
-    named = "case lower(x.r) when 'human' then 'user' when 'gpt' then 'assistant' when 'bot' then 'assistant' when 'model' then 'assistant' else coalesce(x.r, '') end"
-    items = f"transform(try_variant_get(v, '$.{field}', 'array<variant>'), i -> named_struct('r', try_variant_get(i, '$.{role}', 'string'), 't', try_variant_get(i, '$.{text}', 'string')))"
-    return Layout(name, (f"$.{field}[0].{role}", f"$.{field}[0].{text}"), f"transform({items}, x -> named_struct('role', {named}, 'text', coalesce(x.t, '')))")
+    has: Callable[[str], Column]
+    text: Callable[[str], Column]
+    elements: Callable[[str, str, str], Column]
 
 
-LAYOUTS = (
-    _listed("messages", "messages", "role", "content"),
-    _listed("conversations", "conversations", "from", "value"),
-    _listed("turns", "turns", "role", "text"),
-    Layout("instruction", ("$.instruction", "$.output"), f"array({_turn('user', '$.instruction')}, {_turn('assistant', '$.output')})"),
-    Layout("instruction_input", ("$.instruction", "$.input", "$.output"), "array(named_struct('role', 'user', 'text', concat_ws('\\n\\n', try_variant_get(v, '$.instruction', 'string'), nullif(try_variant_get(v, '$.input', 'string'), ''))), " + _turn("assistant", "$.output") + ")"),
-    _pair("prompt_response", "$.prompt", "$.response"),
-    _pair("prompt_completion", "$.prompt", "$.completion"),
-    _pair("question_answer", "$.question", "$.answer"),
-    Layout("system_prompt_response", ("$.system", "$.prompt", "$.response"), f"array({_turn('system', '$.system')}, {_turn('user', '$.prompt')}, {_turn('assistant', '$.response')})"),
-)
+def _parts(path: str) -> tuple[str, str | None]:
+    """The field of a path, and the field of its elements if it is a list's."""
+    field, _, inner = path.removeprefix("$.").partition("[].")
+    return field, inner or None
 
 
-def _known(layouts: tuple[Layout, ...]) -> list[str]:
-    return sorted({p for x in layouts for p in x.paths})
+def of_variant(v: str) -> Reader:
+    get = lambda of, path, kind: f"try_variant_get({of}, '$.{path}', '{kind}')"
 
+    def has(path: str) -> Column:
+        field, inner = _parts(path)
+        if inner is None:
+            return F.expr(f"{get(v, field, 'variant')} is not null")
+        items = get(v, field, "array<variant>")
+        return F.expr(f"coalesce(size({items}) = 0 or exists({items}, i -> {get('i', inner, 'variant')} is not null), false)")
 
-def fingerprint(v: str = "v", layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """Hash of the known paths that the variant has."""
-    held = F.array(*(F.when(F.expr(f"try_variant_get({v}, '{p}', 'variant')").isNotNull(), p) for p in _known(layouts)))
-    return F.xxhash64(F.array_join(held, ","))
+    def elements(field: str, role: str, text: str) -> Column:
+        return F.expr(f"transform({get(v, field, 'array<variant>')}, i -> named_struct('role', {get('i', role, 'string')}, 'text', {get('i', text, 'string')}))")
 
+    return Reader(has, lambda field: F.expr(get(v, field, "string")), elements)
 
-def canonical_records(records: DataFrame, id_cols: list[str], json_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """``id_cols``, fingerprint, layout and turns (array of role and text) of JSON records of mixed layouts."""
-    rows = common.pick(records, [*id_cols, json_col]).select(*id_cols, F.try_parse_json(json_col).alias("v")).withColumn("fingerprint", fingerprint("v", layouts))
-    name = turns = None
+
+def schema_paths(kind: T.StructType) -> Iterator[str]:
+    """Paths of a struct's fields and of the fields of its lists of structs."""
+    for f in kind.fields:
+        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+            yield from (f"$.{f.name}[].{x.name}" for x in f.dataType.elementType.fields)
+        else:
+            yield f"$.{f.name}"
+
+
+def of_struct(record: Column, kind: T.StructType) -> Reader:
+    """A struct has the fields of its type wherever it isn't null itself; a list's fields, where the list isn't null."""
+    held = set(schema_paths(kind))
+
+    def has(path: str) -> Column:
+        if path not in held:
+            return F.lit(False)
+        field, inner = _parts(path)
+        return record.isNotNull() if inner is None else record[field].isNotNull()
+
+    def elements(field: str, role: str, text: str) -> Column:
+        return F.transform(record[field], lambda i: F.struct(i[role].cast("string").alias("role"), i[text].cast("string").alias("text")))
+
+    return Reader(has, lambda field: record[field].cast("string"), elements)
+
+
+def _mark(reader: Reader, paths: tuple[str, ...]) -> Column:
+    """Hash of those of ``paths`` that the record has."""
+    return F.xxhash64(F.array_join(F.array(*(F.when(reader.has(p), F.lit(p)) for p in paths)), ","))
+
+
+def _turns(reader: Reader, layout: Layout, roles: dict[str, str]) -> Column:
+    named = F.create_map(*(F.lit(x) for kv in roles.items() for x in kv)) if roles else None
+    role_of = lambda r: F.coalesce(*([named[F.lower(r)]] if roles else []), r, F.lit(""))
+    turn = lambda role, text: F.struct(role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    said = []
+    for role, (first, *more) in layout.said:
+        text = F.concat_ws("\n\n", reader.text(first), *(F.when(reader.text(f) != "", reader.text(f)) for f in more)) if more else reader.text(first)
+        said.append(turn(F.lit(role), text))
+    if not layout.listed:
+        return F.array(*said)
+    listed = F.transform(reader.elements(*layout.listed), lambda x: turn(role_of(x["role"]), x["text"]))
+    return F.concat(F.array(*said), listed) if said else listed
+
+
+def _canonical(rows: DataFrame, id_cols: list[str], reader: Reader, layouts: tuple[Layout, ...], possible: set[str] | None = None, roles: dict[str, str] = ROLES) -> DataFrame:
+    known = tuple(sorted({p for x in layouts for p in x.paths}))
+    name = turns = unused = None
     for x in layouts:
-        same = F.col("fingerprint") == F.xxhash64(F.lit(",".join(sorted(x.paths))))
-        name = F.when(same, x.name) if name is None else name.when(same, x.name)
-        turns = F.when(same, F.expr(x.turns)) if turns is None else turns.when(same, F.expr(x.turns))
-    return rows.select(*id_cols, "fingerprint", name.alias("layout"), turns.alias("turns"))
+        if possible is not None and not set(x.paths) <= possible:
+            continue  # its mapping can't be read from this type, and no record of it can have its paths
+        same = _mark(reader, x.paths) == F.xxhash64(F.lit(",".join(x.paths)))
+        left = F.filter(F.array(*(F.when(reader.has(p), F.lit(p)) for p in known if p not in x.paths)), lambda p: p.isNotNull())
+        case = lambda so_far, value: F.when(same, value) if so_far is None else so_far.when(same, value)  # noqa: B023, E731
+        name, turns, unused = case(name, F.lit(x.name)), case(turns, _turns(reader, x, roles)), case(unused, left)
+    if name is None:
+        name, turns, unused = (F.lit(None).cast(t) for t in ("string", "array<struct<role:string,text:string>>", "array<string>"))
+    return rows.select(*id_cols, _mark(reader, known).alias("fingerprint"), name.alias("layout"), turns.alias("turns"), unused.alias("unused"))
+
+
+def canonical_records(records: DataFrame, id_cols: list[str], json_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """``id_cols``, fingerprint, layout, turns (array of role and text) and unused of JSON records of mixed layouts."""
+    rows = common.pick(records, [*id_cols, json_col]).select(*id_cols, F.try_parse_json(json_col).alias("v"))
+    return _canonical(rows, id_cols, of_variant("v"), layouts)
+
 
+def canonical_structs(records: DataFrame, id_cols: list[str], record: str, layouts: tuple[Layout, ...] = LAYOUTS, roles: dict[str, str] = ROLES) -> DataFrame:
+    """The same of a column of structs; ``roles`` renames speakers."""
+    kind = records.schema[record].dataType
+    return _canonical(records.select(*id_cols, F.col(record).alias("r")), id_cols, of_struct(F.col("r"), kind), layouts, set(schema_paths(kind)), roles)
 
-#: Layouts of tables with one row for each turn: conversation, order, role, text.
+
+#: Layouts of tables with one row for each turn, in order of preference: conversation, order, role, text.
 ROW_LAYOUTS = (("conv_id", "turn", "role", "text"), ("conversation_id", "message_index", "role", "content"), ("thread_id", "position", "from", "value"))
 
 
-def canonical_rows(rows: DataFrame) -> DataFrame:
-    """conv_id and turns of a table with one row for each turn, its columns found by their fingerprint."""
-    known = {c for x in ROW_LAYOUTS for c in x}
-    mark = ",".join(sorted(known & set(rows.columns)))
-    layout = {",".join(sorted(x)): x for x in ROW_LAYOUTS}.get(mark)
-    if layout is None:
-        raise ValueError(f"no layout has the columns {mark}")
-    key, at, role, text = layout
+def gathered(rows: DataFrame) -> DataFrame:
+    """(conv_id, record) of a table with one row for each turn, ``record`` being a struct with the list ``turns`` in order."""
+    held = set(schema_paths(rows.schema))
+    found = next((x for x in ROW_LAYOUTS if {f"$.{c}" for c in x} <= held), None)
+    if found is None:
+        raise ValueError(f"no layout of rows has its paths among {sorted(held)}")
+    key, at, role, text = found
     row = F.struct(F.col(at).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    found = common.pick(rows, list(layout)).groupBy(F.col(key).alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    return found.select("conv_id", F.transform("rows", lambda x: F.struct(F.coalesce(x["role"], F.lit("")).alias("role"), F.coalesce(x["text"], F.lit("")).alias("text"))).alias("turns"))
+    return common.pick(rows, list(found)).groupBy(F.col(key).alias("conv_id")).agg(F.struct(F.sort_array(F.collect_list(row)).alias("turns")).alias("record"))
+
+
+def canonical_rows(rows: DataFrame) -> DataFrame:
+    """conv_id, fingerprint, layout, turns and unused of a table with one row for each turn; its roles stay as they are."""
+    return canonical_structs(gathered(rows), ["conv_id"], "record", roles={})
 
 
 def escape(text: Column) -> Column:

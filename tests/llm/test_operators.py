@@ -165,6 +165,36 @@ def test_layouts_are_told_apart_by_their_paths(spark):
             assert x["layout"] == x["id"] and [(t["role"], t["text"]) for t in x["turns"]] == [("user", "q"), ("assistant", "a")]
 
 
+def test_records_of_mixed_layouts_lose_nothing_silently(spark):
+    said = '[{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]'
+    data = {
+        "both": (f'{{"messages": {said}, "prompt": "p", "response": "r"}}', "messages", [("user", "q"), ("assistant", "a")], ["$.prompt", "$.response"]),
+        "system": (f'{{"system": "s", "messages": {said}}}', "system_messages", [("system", "s"), ("user", "q"), ("assistant", "a")], []),
+        "output": (f'{{"messages": {said}, "output": "o"}}', "messages", [("user", "q"), ("assistant", "a")], ["$.output"]),
+        "empty": ('{"messages": []}', "messages", [], []),
+        "late": ('{"turns": [{"text": "x"}, {"role": "assistant", "text": null}]}', "turns", [("", "x"), ("assistant", "")], []),
+        "null": ('{"prompt": null, "response": "r"}', "prompt_response", [("user", ""), ("assistant", "r")], []),
+        "input": ('{"instruction": "i", "input": "j", "output": "o", "system": "s"}', "instruction_input", [("user", "i\n\nj"), ("assistant", "o")], ["$.system"]),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in data.items()], "id string, j string")
+    for x in chat.canonical_records(df, ["id"], "j").collect():
+        assert (x["layout"], [(t["role"], t["text"]) for t in x["turns"]], x["unused"]) == data[x["id"]][1:], x["id"]
+
+
+def test_structs_and_rows_with_further_columns(spark):
+    kind = "id long, r struct<messages: array<struct<role: string, content: string, extra: int>>, prompt: string>"
+    df = spark.createDataFrame([(1, ([("human", "q", 1), (None, None, None)], "p")), (2, (None, "p")), (3, None), (4, ([], None))], kind)
+    got = {x["id"]: (x["layout"], x["turns"] and [tuple(t) for t in x["turns"]]) for x in chat.canonical_structs(df, ["id"], "r").collect()}
+    assert got == {1: ("messages", [("user", "q"), ("", "")]), 2: (None, None), 3: (None, None), 4: ("messages", [])}
+    rows = spark.createDataFrame([(1, 2, "assistant", "b", "z", "Z"), (1, 1, "user", "a", "z", "Z")], "conv_id long, turn int, role string, text string, content string, Text string")
+    for renamed in (rows, rows.drop("text", "Text").toDF("conversation_id", "message_index", "role", "content").withColumn("x", F.lit(1))):
+        (x,) = chat.canonical_rows(renamed).collect()
+        assert x["layout"] == "turns" and [t["role"] for t in x["turns"]] == ["user", "assistant"]
+    assert chat.canonical_rows(rows.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="no layout"):
+        chat.canonical_rows(rows.drop("turn"))
+
+
 def test_chat_plan_has_no_python(spark):
     from citeplane.llm.chat import op3_chat
 
