@@ -5,8 +5,9 @@ a window at all (as many known words as the shortest window has) are sorted by t
 benchmark suffix is binary-searched in that array, which yields all places of its window; overlapping places join to
 the longest verbatim matches. A shard never leaves its task, so nothing is shuffled and no document meets another.
 
-The benchmark is sent to the tasks in blocks of a checked size; each further block is one more pass over the rows of
-the same task, so its size has no bound and the documents still don't move.
+A benchmark of up to ``BLOCK_BYTES`` is sent to the tasks whole. A larger one is taken in blocks of that size: a pass over
+the texts for each, run and written before the next begins, so that one block is held at a time whatever their number;
+the matches, by hashes of the texts that have some, are joined to the documents at the end.
 
 ``decontaminate`` drops the documents that op2 calls contaminated, ``without_affected`` all with a match.
 
@@ -33,7 +34,7 @@ from . import common
 
 WINDOW = 13
 #: Bytes of benchmark text sent to the tasks at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _KEEP = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
@@ -42,28 +43,35 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of benchmark items, as ids of words."""
+    """The distinct windows of benchmark items, as ids of words: arrays of some 200 bytes a window."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
         self.vocabulary: dict[bytes, int] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners[tuple(ids[at : at + window])].update([] if item is None else [item])
-        self.owners = [sorted(x) for x in owners.values()]
-        self.sizes = np.array([len(x) for x in owners], dtype=np.int64)
-        self.shortest = int(self.sizes.min()) if owners else 0
-        self.window = window
-        low = np.zeros((len(owners), window), dtype=">i4")
-        high = np.full((len(owners), window), -1, dtype=">i4")
-        for i, x in enumerate(owners):
-            low[i, : len(x)] = high[i, : len(x)] = x
-        self.low, self.high = (np.frombuffer(m.tobytes(), dtype=f"S{4 * window}") for m in (low, high))
+        self.window, rows, owner = window, [], []
+        for item, (_, text) in enumerate(items):
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], dtype=">i4")
+            if len(ids):
+                ids = np.pad(ids, (0, max(0, window - len(ids))))
+                rows.append(np.lib.stride_tricks.sliding_window_view(ids, window))
+                owner.append(np.full(len(rows[-1]), item))
+        low = np.concatenate(rows).astype(">i4") if rows else np.zeros((0, window), ">i4")
+        self.low, of = np.unique(np.frombuffer(low.tobytes(), dtype=f"S{4 * window}"), return_inverse=True)
+        high = np.frombuffer(self.low.astype(f"S{4 * window}").tobytes(), dtype=">i4").reshape(-1, window).copy()
+        self.sizes = (high > 0).sum(axis=1)
+        self.shortest = int(self.sizes.min()) if len(high) else 0
+        high[high == 0] = -1
+        self.high = np.frombuffer(high.tobytes(), dtype=f"S{4 * window}")
+        # Items by window: those of window w are owners[begins[w]:begins[w + 1]].
+        pairs = np.unique(np.column_stack([of, np.concatenate(owner)]), axis=0) if rows else np.zeros((0, 2), np.int64)
+        self.names = [item for item, _ in items]
+        self.owners, self.begins = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(high) + 1))
+
+    def items_of(self, w: int) -> set[str]:
+        return {self.names[i] for i in self.owners[self.begins[w] : self.begins[w + 1]]} - {None}
 
     def search(self, ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """(window, its starts) for each window that occurs in ``ids``; 0 is a word no item has, or a border."""
-        if not len(self.owners) or len(ids) < self.shortest:
+        if not len(self.low) or len(ids) < self.shortest:
             return []
         known = np.concatenate([[0], np.cumsum(ids > 0)])
         starts = np.flatnonzero(known[self.shortest :] - known[: -self.shortest] == self.shortest)
@@ -89,7 +97,7 @@ def _match(windows: Windows, docs: list[list[bytes]]) -> Iterator[tuple[list[int
         np.add.at(change, at, 1)
         np.add.at(change, at + windows.sizes[w], -1)
         for d in np.unique(np.searchsorted(begins, at, "right") - 1):
-            items[int(d)].update(windows.owners[w])
+            items[int(d)].update(windows.items_of(w))
     hit = np.concatenate([[0], (np.cumsum(change[:-1]) > 0).astype(np.int8), [0]])
     edges = np.flatnonzero(np.diff(hit))
     owner = np.searchsorted(begins, edges[::2], "right") - 1
@@ -110,35 +118,57 @@ def _joined(flat: list[int]) -> list[int]:
     return out
 
 
+def _pass(rows: DataFrame, block: list[tuple[str | None, str]], window: int, hits: bool) -> DataFrame:
+    """``rows``, the last column of which is the text, with n_words, spans and items in its stead; with ``hits`` only those with a match."""
+    sent = rows.sparkSession.sparkContext.broadcast(block)
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(sent.value, window)
+        for batch in batches:
+            for part in common.slices(batch, batch.num_columns - 1):
+                split = [words_of(t.as_py()) for t in part.column(part.num_columns - 1)]
+                found = list(_match(windows, split))
+                made = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(map(len, split), pa.int64()), pa.array([s for s, _ in found], pa.list_(pa.int32())), pa.array([i for _, i in found], pa.list_(pa.string()))], names=schema.names)
+                yield made.filter(pa.array([bool(s) for s, _ in found], pa.bool_())) if hits else made
+
+    return rows.mapInArrow(run, schema)
+
+
+def _union(rows: DataFrame) -> DataFrame:
+    """``rows`` with the lists of spans and of items that blocks have found, the last two columns, joined and sorted."""
+    schema = T.StructType([*rows.schema.fields[:-2], T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, items = ([list(chain.from_iterable(x or ())) for x in batch.column(batch.num_columns - i).to_pylist()] for i in (2, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(map(_joined, spans), pa.list_(pa.int32())), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` and n_words, spans (start and end of each longest match, by turns, in words), items."""
-    spark, names = docs.sparkSession, docs.columns
+    names = docs.columns
     bench = common.pick(benchmark, list(dict.fromkeys([item_id, item_text]))).select(F.col(item_id).cast("string").alias("i"), common.text_of(item_text).alias("t")).where("t <> ''").distinct()
     _, size = common.fits(bench, ["i", "t"], block_bytes)
     blocks = max(1, math.ceil(size / block_bytes))
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    rows = plain.select("*", common.text_of(f"c{names.index(text_col)}").alias("t"), F.lit(0).cast("long").alias("n"), F.array().cast("array<int>").alias("s"), F.array().cast("array<string>").alias("i"))
-    schema, fields = rows.schema, rows.columns
+    text = common.text_of(f"c{names.index(text_col)}").alias("__t")
+    of = lambda b: [tuple(r) for r in bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()]
+    if blocks == 1:
+        return _pass(plain.select("*", text), of(0), window, False).toDF(*names, "n_words", "spans", "items")
+    # One pass for each block, run and written before the next begins; texts that are equal have one result.
+    bench = common.materialize(bench)
+    keys = [F.xxhash64(F.lit(i), text).alias(f"__r{i}") for i in range(2)]
+    hits = None
     for b in range(blocks):
-        block = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()]
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            windows = Windows(sent.value, window)
-            for batch in batches:
-                for part in common.slices(batch, batch.num_columns - 4):
-                    split = [words_of(t.as_py()) for t in part.column(part.num_columns - 4)]
-                    found = list(_match(windows, split))
-                    old_s, old_i = (part.column(part.num_columns - k).to_pylist() for k in (2, 1))
-                    yield pa.RecordBatch.from_arrays([
-                        *part.columns[:-3],
-                        pa.array(map(len, split), pa.int64()),
-                        pa.array([_joined(x + s) if x else s for (s, _), x in zip(found, old_s)], pa.list_(pa.int32())),
-                        pa.array([sorted({*x, *i}) if x else i for (_, i), x in zip(found, old_i)], pa.list_(pa.string())),
-                    ], names=fields)
-
-        rows = rows.mapInArrow(run, schema)
-    return rows.drop("t").toDF(*names, "n_words", "spans", "items")
+        one = common.materialize(_pass(plain.select(*keys, text), of(b), window, True).groupBy("__r0", "__r1").agg(F.first("spans").alias("spans"), F.first("items").alias("items")))
+        hits = one if hits is None else hits.unionByName(one)
+    hits = common.materialize(hits.groupBy(F.col("__r0").alias("__k0"), F.col("__r1").alias("__k1")).agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items")))
+    rows = _pass(plain.select("*", *keys, text), [], window, False).drop("spans", "items")
+    found = rows.join(hits, (F.col("__r0") == F.col("__k0")) & (F.col("__r1") == F.col("__k1")), "left")
+    return _union(found.select(*plain.columns, "n_words", "spans", "items")).toDF(*names, "n_words", "spans", "items")
 
 
 def _judged(found: DataFrame, n: int) -> DataFrame:
