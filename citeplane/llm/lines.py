@@ -4,9 +4,8 @@ The fingerprints are the least line hashes of each window of ``RUN`` lines, whic
 same place (winnowing's guarantee); places meet by fingerprint, matches are extended to both sides (see repeats.py), and
 a line goes if a window that covers it stands at an earlier place: by doc_id, then by position.
 
-With ``long``, as the pipeline has it, shorter runs of that many words (split at ASCII white space) go too: they meet by
-the hash of the whole run, and runs of fewer words are left out before anything moves. The query op6 is defined by its
-SQL, which knows runs of ``RUN`` lines only.
+Shorter runs of ``LONG`` words or more (split at ASCII white space) go too, as a passage that is one line is a passage:
+they meet by the hash of the whole run, and runs of fewer words are left out before anything moves.
 
 Lines count without the white space at their ends; blank lines are no part of a run, and those between two deleted
 lines go with them. Defined results: a null text stays null and counts as empty; a document may lose all its lines and
@@ -28,7 +27,7 @@ from . import common
 from .repeats import Hashes, merged, repeated
 
 RUN = 3
-#: Words from which a run of fewer lines than ``RUN`` is long enough to go as well, where asked for.
+#: Words from which a run of fewer lines than ``RUN`` is long enough to go as well.
 LONG = 50
 
 
@@ -91,8 +90,8 @@ def repeated_long(docs: DataFrame, run: int, long: int, key: str = "doc_id", tex
     return rows.join(first, ["h", "c"]).where(place != F.col("lo")).select("k", "th", "start", "end")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text", run: int = RUN, long: int | None = None) -> DataFrame:
-    """All columns of ``docs``, the text without later repeated runs, then n_lines and n_deleted."""
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text", run: int = RUN, long: int | None = LONG) -> DataFrame:
+    """All columns of ``docs``, the text without later repeated runs, then n_lines and n_deleted; ``long`` null: runs of ``run`` lines only."""
     names = docs.columns
     spans = repeated(docs, line_hashes, run, 1, key, text_col, later=True)
     if long is not None:
@@ -122,13 +121,18 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_deleted", F.sha2(common.text_of("text"), 256).alias("text_sha256"))
 
 
+_WINDOWS = " union all ".join(
+    f"select r, doc_id, text, p, {n} as size, md5(string_agg(md5(x), '') over (partition by r order by p rows between current row and {n - 1} following)) as g, count(*) over (partition by r order by p rows between current row and {n - 1} following) as n, sum(k) over (partition by r order by p rows between current row and {n - 1} following) as k from lw"
+    for n in range(1, RUN + 1)
+)
 SQL_TEXT = rf"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 a as (select r, doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as q from d),
 l as (select *, row_number() over (partition by r order by q) - 1 as p from (select *, trim(line, E' \t\n\r\x0b\x0c') as x from a) where x <> ''),
-w as (select r, doc_id, text, p, md5(string_agg(md5(x), '' ) over (partition by r order by p rows between current row and {RUN - 1} following)) as g, count(*) over (partition by r order by p rows between current row and {RUN - 1} following) as n from l),
-f as (select *, first_value(struct_pack(d := doc_id, t := md5(text), p := p)) over (partition by g order by doc_id nulls first, md5(text), p) as first from w where n = {RUN}),
-c as (select distinct r, unnest(range(p, p + {RUN})) as p from f where first is distinct from struct_pack(d := doc_id, t := md5(text), p := p)),
+lw as (select *, len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) as k from l),
+w as ({_WINDOWS}),
+f as (select *, first_value(struct_pack(d := doc_id, t := md5(text), p := p)) over (partition by size, g order by doc_id nulls first, md5(text), p) as first from w where n = size and (size = {RUN} or k >= {LONG})),
+c as (select distinct r, unnest(range(p, p + size)) as p from f where first is distinct from struct_pack(d := doc_id, t := md5(text), p := p)),
 s as (select a.r, a.q, a.line, l.p, c.p is not null as gone from a left join l on a.r = l.r and a.q = l.q left join c on l.r = c.r and l.p = c.p),
 b as (select *, last_value(case when p is not null then gone end ignore nulls) over (partition by r order by q rows between unbounded preceding and current row) as before, first_value(case when p is not null then gone end ignore nulls) over (partition by r order by q rows between current row and unbounded following) as after from s),
 k as (select r, coalesce(string_agg(line, chr(10) order by q) filter (not case when p is null then coalesce(before, false) and coalesce(after, false) else gone end), '') as text, count(p) as n_lines, count(*) filter (gone) as n_deleted from b group by r)
