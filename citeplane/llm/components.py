@@ -22,7 +22,7 @@ def _large_star(links: DataFrame) -> DataFrame:
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
+    least = materialize(down.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m"))
     near = down.join(least, F.col("a") == F.col("k")).select(F.col("m").alias("a"), "b").where("a <> b")
     return near.unionByName(least.select(F.col("m").alias("a"), F.col("k").alias("b")))
 

@@ -46,7 +46,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
         parts = [b" ".join(words)]
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    hashes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in parts], dtype="<u8")
+    hashes = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), dtype="<u8")
     total = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
@@ -62,8 +62,9 @@ def fingerprints(docs: DataFrame, id_cols: list[str], text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([fingerprint(t.as_py()) for t in batch.column(batch.num_columns - 1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got.view(np.int64), pa.int64())], names=[f.name for f in schema.fields])
+            for part in common.slices(batch, batch.num_columns - 1):
+                got = np.array([fingerprint(t.as_py()) for t in part.column(part.num_columns - 1)], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got.view(np.int64), pa.int64())], names=[f.name for f in schema.fields])
 
     return rows.mapInArrow(run, schema)
 
@@ -190,7 +191,8 @@ def near_duplicates(docs: DataFrame, id_cols: list[str], key: str = "doc_id", te
     nodes = components(links(prints, radius, small))
     least = prints.groupBy("fp").agg(F.min(key).alias("least"))
     rooted = common.materialize(least.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    name = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written before it meets its fingerprints again, so that the join can split a large component.
+    name = common.materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(name, "root").select(F.col("fp").alias("__fp"), "component_id")
     return prints.join(named, F.col("fp") == F.col("__fp")).select(*id_cols, "fp", "component_id")
 
