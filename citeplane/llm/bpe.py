@@ -27,9 +27,6 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Pre-tokens whose ids a worker remembers, in two generations: a full younger one becomes the older one, which is then
-#: dropped. What is used stays, memory is bounded, and no result depends on it.
-MEMO = 200_000
 _SPACES = r"\t-\r \x85\xa0  -     　"
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACES}\p{{L}}\p{{N}}]+")
 _NONE = 1 << 62
@@ -98,8 +95,8 @@ class WordBpe:
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.added = added
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        #: Ids of pre-tokens, as machine words.
+        self.memo = common.Memo(lambda word: self.merge(word.encode()).tobytes())
 
     def merge(self, data: bytes) -> array:
         """Ids of one pre-token."""
@@ -137,17 +134,6 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return _WORDS.findall(text.lower())
 
-    def remembered(self, word: str) -> bytes:
-        """Ids of a pre-token, as machine words."""
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self.merge(word.encode()).tobytes()
-        if len(word) < 64:
-            if len(self.memo) >= MEMO:
-                self.older, self.memo = self.memo, {}
-            self.memo[word] = ids
-        return ids
-
     def encode(self, text: str) -> array:
         out = bytearray()
         for part in self.cut.split(text) if self.cut and "<|" in text else (text,):
@@ -155,8 +141,7 @@ class WordBpe:
                 out += array("I", [self.added[part]]).tobytes()
                 continue
             for word in self.pieces(part):
-                ids = self.memo.get(word)
-                out += self.remembered(word) if ids is None else ids
+                out += self.memo[word]
         return array("I", bytes(out))
 
     def decode(self, ids: Iterable[int]) -> str:

@@ -2,7 +2,7 @@
 
 The distinct pre-tokens of a slice are walked in sorted order, which is a depth-first walk of their trie: the forward
 state of a shared prefix (best score, fewest pieces, open pieces) is computed once and kept on a stack, and the count
-at a terminal is stored for every document that holds the pre-token. The memo of a worker is emptied when full, so
+at a terminal is stored for every document that holds the pre-token. The memo of a worker is emptied at a bound in bytes, so
 memory is bounded and no result depends on it. Rows never meet: nothing is shuffled, whatever the skew.
 
 The model: pieces of a public vocabulary in their order there; no tokenizer is trained, so a piece of rank r gets
@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-MEMO = 600_000
+#: Bytes of words that a worker remembers, and of those that it works on at once.
+MEMO_BYTES, SLICE_BYTES = 32 << 20, 1 << 20
 START = "▁"
 #: Log-probability of a byte that stands for a part of an unknown character, below that of every piece.
 BYTE_LOG_P = -40.0
@@ -93,14 +94,15 @@ def token_counts(docs: DataFrame, id_cols: list[str], path: str | None = None, t
     schema = T.StructType([*rows.drop("__text").schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, memo = PieceTrie(sent.value), {}
+        trie, memo, held = PieceTrie(sent.value), {}, 0
         for batch in batches:
-            for part in common.slices(batch, batch.num_columns - 1):
+            for part in common.slices(batch, batch.num_columns - 1, SLICE_BYTES):
                 split = [t.as_py().encode().split() for t in part.column(part.num_columns - 1)]
                 distinct = {w for ws in split for w in ws}
                 if new := distinct - memo.keys():
-                    if len(memo) + len(new) > MEMO:
-                        memo, new = {}, distinct
+                    if held + sum(map(len, new)) + 120 * len(new) > MEMO_BYTES:
+                        memo, new, held = {}, distinct, 0
+                    held += sum(map(len, new)) + 120 * len(new)
                     memo |= {w.encode(): n for w, n in trie.counts(w.decode() for w in new).items()}
                 columns = [*part.columns[:-1], pa.array(map(len, split), pa.int64()), pa.array([sum(map(memo.__getitem__, ws)) for ws in split], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
