@@ -260,12 +260,24 @@ def test_quality_quantiles_are_near(spark):
     r = random.Random(1)
     values = [int(r.lognormvariate(6, 2)) for _ in range(5000)]
     df = spark.createDataFrame([("en", "s", v, 1, 1, 0, 0, 0) for v in values], "lang string, source string, n_symbols long, n_words long, n_lines long, n_dup_lines long, n_repeat_words long, word_chars long")
-    got = {x["rate"]: x for x in quality.quantiles(quality.sketches(df, ["lang", "source"]), ["lang", "source"]).collect()}["symbols"]
+    got = {x["rate"]: x for x in quality.quantiles(quality.sketches(df, ["lang", "source"]), ["lang", "source"], (50, 90)).collect()}["symbols"]
     for q in (50, 90):
         true = 1000 * sorted(values)[5000 * q // 100 - 1]
         assert true * 0.984 <= got[f"q{q}"] <= true
 
 
+def test_fences_follow_the_source_within_those_of_its_language(spark):
+    """Short words are usual in one source; one full of junk doesn't lift its fence; the few documents of a small one are judged by the language."""
+    r = random.Random(2)
+    text = lambda n, symbols=0: " ".join("".join(r.choice("abcdefgh") for _ in range(n + r.randrange(2))) for _ in range(60)) + " #" * symbols
+    data = [(i, text(5), "en", "plain") for i in range(400)] + [(1000 + i, text(8), "en", "long") for i in range(150)]
+    data += [(2000 + i, text(5, 30 * (i % 2)), "en", "junk") for i in range(200)] + [(3000, text(5), "en", "few"), (3001, text(25), "en", "few"), (3002, text(5), None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    kept = {x["doc_id"]: x["kept"] for x in quality.judged(df, ["doc_id"]).collect()}
+    assert all(kept[i] for i in range(400)) and all(kept[1000 + i] for i in range(150))
+    assert all(kept[2000 + i] == (i % 2 == 0) for i in range(200)) and kept[3000] and not kept[3001] and kept[3002]
+
+
 # 6
 
 
@@ -291,7 +303,7 @@ def test_line_dedup_equals_brute_force(spark, docs, run):
     df = docs.select("doc_id", "text").where("doc_id is not null").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     data = [(x["doc_id"], x["text"]) for x in df.collect()]
     want = brute_lines(data, run)
-    joined = lines.dedup_lines(df, run=run).collect()
+    joined = lines.dedup_lines(df, run=run, long=None).collect()
     assert len(joined) == len(data)
     by = defaultdict(list)
     for (d, _), v in want.items():
