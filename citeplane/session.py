@@ -13,12 +13,17 @@ _SHIPPED: set[str] = set()
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of an Arrow batch unless the session sets its own: documents are long, and a batch is held several times over.
 BATCH_ROWS = 1000
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch, unless the session sets fewer.
+BATCH_BYTES = 16 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors, once for each application, so that it needs no installation there."""
     if spark.conf.get(_BATCH) == "10000":  # Spark's default
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+    if spark.conf.get(_BYTES) == "67108864b":  # Spark's default
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         package = Path(__file__).resolve().parent
