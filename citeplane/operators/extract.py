@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from citeplane.operators import content
 from citeplane.operators.outline import squeeze
+from citeplane.scratch import materialize
 
 #: Targets of one document that one row carries; a document with more is parsed once for each lot of them.
 LOT = 256
@@ -20,7 +21,9 @@ KEYS = ("doc_key", "format", "locator", "anchor")
 def lots(targets: DataFrame) -> DataFrame:
     """(doc_key, url, targets): distinct targets by document, in lots of about ``LOT``."""
     each = targets.groupBy(*KEYS).agg(F.min("url").alias("url"))
-    size = each.groupBy("doc_key").agg(F.count("*").alias("__n")).withColumnRenamed("doc_key", "__k")
+    # Both are written before they meet: a document of many targets is split, and its lots are dealt out.
+    each = materialize(each)
+    size = materialize(each.groupBy("doc_key").agg(F.count("*").alias("__n")).withColumnRenamed("doc_key", "__k"))
     each = each.join(size, F.col("doc_key") == F.col("__k")).withColumn("__lot", F.pmod(F.xxhash64("format", "locator", "anchor"), F.ceil(F.col("__n") / LOT)))
     return each.groupBy("doc_key", "__lot").agg(F.collect_list(F.struct("format", "locator", "anchor", "url")).alias("targets")).drop("__lot")
 

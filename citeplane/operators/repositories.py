@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from citeplane import fixed
 from citeplane.functions import text
+from citeplane.scratch import materialize
 from citeplane.sources import payloads
 
 
@@ -43,6 +44,11 @@ def _wikisource_rank(location: Column, name: Column) -> Column:
 def choose(targets: DataFrame, files: DataFrame) -> DataFrame:
     """(repo, key, location, name) for the distinct targets (repo, key, location) that have a file; whole books apart."""
     each = targets.select("repo", "key", "location").distinct()
+    # A plain chapter number, the usual location in a large book, meets its chapter by key; the rest meet all of theirs.
+    number = F.when(F.col("repo") == "gutenberg", F.regexp_extract("location", rf"(?s)\A\s*{fixed.CHAPTER_NUMBER}\s*\z", 1).try_cast("int"))
+    numbered = each.withColumn("number", number).where("number is not null")
+    by_number = materialize(numbered.join(files.select("repo", "key", "number", "name"), ["repo", "key", "number"]).groupBy("repo", "key", "location").agg(F.min("name").alias("name")))
+    each = each.join(by_number, ["repo", "key", "location"], "left_anti")
     rows = each.join(files.select("repo", "key", "name", "title", "number"), ["repo", "key"]).withColumn("__titled", _titled(F.col("location"), F.col("title")))
     count = rows.where("__titled").groupBy("repo", "key", "location").agg(F.count("*").alias("__m"))
     rows = rows.join(count, ["repo", "key", "location"], "left")
@@ -50,7 +56,7 @@ def choose(targets: DataFrame, files: DataFrame) -> DataFrame:
     rank = F.when(F.col("repo") == "gutenberg", F.when(F.trim("location") != "", _gutenberg_rank(F.col("location"), F.col("title"), F.col("number"), only)))
     rank = rank.when(F.col("repo") == "wikisource", _wikisource_rank(F.col("location"), F.col("name"))).otherwise(F.lit(0))
     best = rows.withColumn("__rank", rank).where("__rank is not null").groupBy("repo", "key", "location")
-    return best.agg(F.min_by("name", F.struct("__rank", F.coalesce("number", F.lit(0)), "name")).alias("name"))
+    return best.agg(F.min_by("name", F.struct("__rank", F.coalesce("number", F.lit(0)), "name")).alias("name")).unionByName(by_number)
 
 
 def books(files: DataFrame) -> DataFrame:

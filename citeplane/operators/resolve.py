@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeplane.functions import formats, text, urls
+from citeplane.scratch import materialize
 
 #: A source without a URL has that of the nearest of so many ancestors.
 ANCESTORS = 3
@@ -18,6 +19,8 @@ ANCESTORS = 3
 def source_urls(sources: DataFrame) -> DataFrame:
     """``sources`` with ``resolved_url``: its own URL or the nearest ancestor's; part_of holds the parent's source_id."""
     up = sources.groupBy("source_id").agg(F.min_by("url", F.coalesce("label", F.lit(""))).alias("u"), F.min_by("part_of", F.coalesce("label", F.lit(""))).alias("p"))
+    # Written before children meet their parents, so that the joins are of plain exchanges and can split a parent of many.
+    up = materialize(up)
     out = sources.withColumn("resolved_url", text.blank_to_null(F.col("url"))).withColumn("__p", F.col("part_of"))
     for _ in range(ANCESTORS):
         step = up.select(F.col("source_id").alias("__id"), text.blank_to_null(F.col("u")).alias("__u"), F.col("p").alias("__next"))
@@ -58,7 +61,7 @@ RESOLVED = ("urn", "label", "source", "url", "location", "snippet", "status", "k
 def chain(fragments: DataFrame, sources: DataFrame, fetcher: bool = True, crawlers: tuple[str, ...] | None = None) -> DataFrame:
     """Fragments with the source, the URL and the target that they name."""
     known = source_urls(sources).select(F.col("source_id").alias("__sid"), F.col("label").alias("source"), F.col("type").alias("__type"), F.col("resolved_url").alias("url"))
-    rows = fragments.join(known, F.col("source_id") == F.col("__sid"), "left")
+    rows = fragments.join(materialize(known), F.col("source_id") == F.col("__sid"), "left")
     kind, locator = targeting(F.col("section"), F.col("selector"), F.col("lines"), F.col("__type"))
     rows = rows.withColumn("format", kind).withColumn("locator", locator).withColumn("location", F.coalesce("location", F.lit("")))
     rows = _route(rows, F.col("url").isNotNull(), F.when(F.col("__sid").isNull(), "no_source").otherwise("no_url"), fetcher, crawlers)

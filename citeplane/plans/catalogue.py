@@ -45,23 +45,29 @@ select q.item_id, coalesce(n, 0)::bigint as n_documents, coalesce(n, 0) > 0 as v
 """
 
 
-def _verified(spark: SparkSession, sf_dir: str, blocked: bool) -> DataFrame:
+def _verified(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", text.normalize_ws(F.col("text")).alias("body"))
     quotes = _table(spark, sf_dir, "benchmark").select("item_id", text.quote_of(F.col("text")).alias("quote"))
-    found = search.containment(docs, quotes.where(F.length("quote") >= text.MIN_EVIDENCE), blocked=blocked).groupBy("item_id").agg(F.count("*").alias("n"))
+    found = search.containment(docs, quotes.where(F.length("quote") >= text.MIN_EVIDENCE), **how).groupBy("item_id").agg(F.count("*").alias("n"))
     return quotes.join(found, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_documents"), F.expr("coalesce(n, 0) > 0").alias("verified"))
 
 
 @_query(_HELD)
 def snippet_verified(spark, sf_dir):
-    """Every benchmark quote with how many documents hold it word for word."""
-    return _verified(spark, sf_dir, False)
+    """Every benchmark quote with how many documents hold it word for word; documents meet quotes by equal grams of words."""
+    return _verified(spark, sf_dir)
 
 
 @_query(_HELD)
 def snippet_verified_blocked(spark, sf_dir):
-    """The same by equal grams of words, without a nested loop over long quotes."""
-    return _verified(spark, sf_dir, True)
+    """The same as where quotes are too many to be sent: grams meet in a join."""
+    return _verified(spark, sf_dir, sent_bytes=0)
+
+
+@_query(_HELD)
+def snippet_verified_nested(spark, sf_dir):
+    """The same by a loop over quotes, blocks of a checked size of which are sent to all tasks."""
+    return _verified(spark, sf_dir, blocked=False)
 
 
 @_query(rf"""with q as (select conv_id, turn, {_QUOTE.format("coalesce(text, '')")} as quote from conversations)
@@ -235,10 +241,11 @@ def _hierarchy(spark, sf_dir) -> DataFrame:
     return out
 
 
-@_query("""with s as (select 'r' || r_regionkey as source_id, null as up, 'https://example.org/' || r_name as url from region union all select 'n' || n_nationkey, 'r' || n_regionkey, null from nation
- union all select 'c' || c_custkey, 'n' || c_nationkey, case when c_custkey % 10 = 0 then 'https://example.org/c/' || c_custkey end from customer union all select 'o' || o_orderkey, 'c' || o_custkey, null from orders
- union all select 'l' || l_orderkey || '-' || l_linenumber, 'o' || l_orderkey, null from lineitem)
-select s.source_id, coalesce(s.url, a.url, b.url, c.url) as url from s left join s a on s.up = a.source_id left join s b on a.up = b.source_id left join s c on b.up = c.source_id""")
+@_query("""with c as materialized (select c_custkey, case when c_custkey % 10 = 0 then 'https://example.org/c/' || c_custkey end as url, case when n_nationkey % 5 = 0 then '' end as nation_url, 'https://example.org/' || r_name as region_url
+  from customer left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey),
+o as materialized (select o_orderkey, c.url, nation_url, region_url from orders left join c on o_custkey = c_custkey)
+select 'r' || r_regionkey as source_id, 'https://example.org/' || r_name as url from region union all select 'n' || n_nationkey, 'https://example.org/' || r_name from nation left join region on n_regionkey = r_regionkey
+ union all select 'c' || c_custkey, coalesce(url, region_url) from c union all select 'o' || o_orderkey, coalesce(url, region_url) from o union all select 'l' || l_orderkey || '-' || l_linenumber, url from lineitem left join o on l_orderkey = o_orderkey""")
 def part_of_url(spark, sf_dir):
     """A source's URL or its nearest ancestor's, at most three up: line items reach a customer or nation, no region."""
     return resolve.source_urls(_hierarchy(spark, sf_dir)).select("source_id", F.col("resolved_url").alias("url"))
@@ -250,16 +257,17 @@ def _page_sources(spark, sf_dir) -> DataFrame:
 
 
 def _turn_fragments(spark, sf_dir) -> DataFrame:
+    """Turns cite pages by a running number, some of which no page has."""
     none = F.lit(None).cast("string")
-    rows = _table(spark, sf_dir, "conversations")
+    rows, sources = _table(spark, sf_dir, "conversations"), max(_table(spark, sf_dir, "pages").count() + 9, 300)
     return rows.select(
-        F.concat_ws(".", F.lit("t"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("urn"), F.concat(F.lit("p"), ((F.col("conv_id") * 7 + F.col("turn")) % 300).cast("string")).alias("source_id"), F.col("role").alias("label"), F.col("text").alias("snippet"),
+        F.concat_ws(".", F.lit("t"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("urn"), F.concat(F.lit("p"), ((F.col("conv_id") * 7 + F.col("turn")) % sources).cast("string")).alias("source_id"), F.col("role").alias("label"), F.col("text").alias("snippet"),
         none.alias("selector"), F.when(F.col("turn") % 4 == 3, "Part 1").alias("section"), F.when(F.col("turn") % 4 == 2, "1-3").alias("lines"), none.alias("location"),
     )
 
 
 _CHAIN = """with s as (select 'p' || page_id as sid, page_id, case when page_id % 11 <> 0 then url end as url from pages),
-f as (select 't.' || conv_id || '.' || turn as urn, 'p' || ((conv_id * 7 + turn) % 300) as sid, role as label, turn, text from conversations)"""
+f as (select 't.' || conv_id || '.' || turn as urn, 'p' || ((conv_id * 7 + turn) % (select greatest(count(*) + 9, 300) from pages)) as sid, role as label, turn, text from conversations)"""
 
 
 @_query(_CHAIN + """ select f.urn, f.label, case when s.sid is null then 'no_source' when s.url is null then 'no_url' else 'resolved' end as status, s.url, 'Page ' || s.page_id as source,
@@ -461,18 +469,20 @@ def supersession_payload(spark, sf_dir):
     return _table(spark, sf_dir, "part").where("p_partkey > 2").select("p_partkey", got["status"].alias("status"), F.array_join(F.sort_array(got["superseded_by"]), ",").alias("by"))
 
 
-@_query("""with d as (select doc_id, lang, row_number() over (partition by lang order by doc_id) as n, text from documents), b as (select lang, count(*) as n, sum(length(text)) + 2 * (count(*) - 1) as n_chars from d group by lang)
-select lang, n_chars::bigint as n_chars, 'k2' as chapter from b where n >= 2""")
+@_query("""with d as (select doc_id // 20 as book, doc_id % 20 + 1 as n, text from documents), b as (select book, sum(length(regexp_replace(text, '^(?:#[^\\n]*\\n?)*(?:[ \\t\\r]*\\n)*', ''))) + 2 * (count(*) - 1) as n_chars from d group by book)
+select b.book, b.n_chars::bigint as n_chars, 'k2' as by_number, 'k' || (book % 20 + 1) as by_title from b where exists (select 1 from d where d.book = b.book and n = 2) and exists (select 1 from d where d.book = b.book and n = book % 20 + 1)""")
 def book_chapters(spark, sf_dir):
-    """Books of all documents of a language: the length of the whole, and the chapter that a location names."""
-    from pyspark.sql import Window
-
-    docs = _table(spark, sf_dir, "documents").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).cast("int"))
-    files = docs.select(F.lit("gutenberg").alias("repo"), F.col("lang").alias("key"), F.concat(F.lit("k"), F.col("n").cast("string")).alias("name"), F.concat(F.lit("part "), F.col("n").cast("string")).alias("title"), F.col("n").alias("number"), F.concat(F.lit("# header\n\n"), "text").alias("body"))
-    whole = repositories.books(files).select(F.col("key").alias("lang"), _long(F.length("body")).alias("n_chars"))
-    wanted = files.select("repo", "key", F.lit("chapter:2").alias("location")).distinct()
-    named = repositories.choose(wanted, files).select(F.col("key").alias("lang"), F.col("name").alias("chapter"))
-    return whole.join(named, "lang")
+    """Books of twenty documents each: the length of the whole, and the chapters that a number and a title name."""
+    docs = _table(spark, sf_dir, "documents").withColumn("book", F.expr("doc_id div 20")).withColumn("n", F.expr("cast(doc_id % 20 + 1 as int)"))
+    key = F.concat(F.lit("b"), F.col("book").cast("string"))
+    title = F.concat(F.lit("On "), F.sha1(F.col("n").cast("string")))
+    files = docs.select(F.lit("gutenberg").alias("repo"), key.alias("key"), F.concat(F.lit("k"), F.col("n").cast("string")).alias("name"), title.alias("title"), F.col("n").alias("number"), F.concat(F.lit("# header\n\n"), "text").alias("body"))
+    book = F.expr("cast(substring(key, 2) as bigint)").alias("book")
+    whole = repositories.books(files).select(book, _long(F.length("body")).alias("n_chars"))
+    titled = docs.select(F.lit("gutenberg").alias("repo"), key.alias("key"), F.concat(F.lit("on "), F.sha1((F.col("book") % 20 + 1).cast("string"))).alias("location"))
+    wanted = files.select("repo", "key", F.lit("chapter:2").alias("location")).unionByName(titled).distinct()
+    named = repositories.choose(wanted, files).groupBy(book).agg(F.max(F.when(F.col("location") == "chapter:2", F.col("name"))).alias("by_number"), F.max(F.when(F.col("location") != "chapter:2", F.col("name"))).alias("by_title"))
+    return whole.join(named.where("by_number is not null and by_title is not null"), "book")
 
 
 # triples
@@ -493,14 +503,14 @@ def emit_triples(spark, sf_dir):
     return lines.groupBy(p.alias("p")).agg(F.count("*").alias("n")).where(F.col("p").isin(rdf.SCHEMA + "url", rdf.OA + "exact", rdf.OA + "hasTarget"))
 
 
-@_query("""with f as (select distinct 'p' || ((conv_id * 7 + turn) % 300) as sid, 't.' || conv_id || '.' || turn as urn from conversations), s as (select 'p' || page_id as sid, page_id from pages)
+@_query("""with f as (select distinct 'p' || ((conv_id * 7 + turn) % (select greatest(count(*) + 9, 300) from pages)) as sid, 't.' || conv_id || '.' || turn as urn from conversations), s as (select 'p' || page_id as sid, page_id from pages)
 select 'AnnotationTarget' as shape, 'a value is of the wrong class' as problem, count(*)::bigint as n from f where sid not in (select sid from s) having count(*) > 0 union all select 'Source', 'neither a URL nor a parent', count(*) from s where page_id % 11 = 0""")
 def constraint_report(spark, sf_dir):
     """Broken constraints of the citations as triples, counted."""
     return constraints.violations(rdf.citation_triples(_citations(spark, sf_dir))).groupBy("shape", "problem").agg(F.count("*").alias("n"))
 
 
-@_query("""select 't.' || conv_id || '.' || turn as urn, 'p' || ((conv_id * 7 + turn) % 300) as source_id, role as label, nullif(text, '') as snippet, case when turn % 4 = 3 then 'Part 1' end as section, case when turn % 4 = 2 then '1-3' end as lines from conversations""")
+@_query("""select 't.' || conv_id || '.' || turn as urn, 'p' || ((conv_id * 7 + turn) % (select greatest(count(*) + 9, 300) from pages)) as source_id, role as label, nullif(text, '') as snippet, case when turn % 4 = 3 then 'Part 1' end as section, case when turn % 4 = 2 then '1-3' end as lines from conversations""")
 def triples_round_trip(spark, sf_dir):
     """Fragments as they come back from triples."""
     return rdf.citations_of(rdf.citation_triples(_citations(spark, sf_dir))).fragments.select("urn", "source_id", "label", "snippet", "section", "lines")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,9 +15,11 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder of the cluster: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The shared folder of the cluster, ``spark.checkpoint.dir``; a temporary one in local mode, where all share a machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|\Z)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="citeplane-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -33,9 +38,9 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(plain.schema).parquet(path).toDF(*names)
 
 
-def drop() -> None:
-    """Delete what ``materialize`` has written; runs when the driver ends."""
-    while _WRITTEN:
+def drop(keep: int = 0) -> None:
+    """Delete what ``materialize`` has written, but for the first ``keep`` tables; all of it when the driver ends."""
+    while len(_WRITTEN) > keep:
         spark, path = _WRITTEN.pop()
         try:
             target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -44,4 +49,14 @@ def drop() -> None:
             return
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Intermediate tables that are written inside go at the end: use or write the result inside as well."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        drop(before)
+
+
 atexit.register(drop)
