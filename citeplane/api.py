@@ -20,14 +20,14 @@ def load(spark: SparkSession, path: str) -> Citations:
     return rdf.citations_of(triples)
 
 
-def check(spark: SparkSession, citations: Citations, world: World, options: Options = Options(), validate_shapes: bool = False) -> Report:  # noqa: B008
+def check(spark: SparkSession, citations: Citations, world: World, options: Options = Options(), validate_shapes: bool = False, known: DataFrame | None = None) -> Report:  # noqa: B008
     """The checks of a run; with ``validate_shapes`` the shape of the citations is one of them."""
-    report = verify.check(citations, world, options)
+    report = verify.check(citations, world, options, known)
     if not validate_shapes:
         return report
     held = constraints.conforms(rdf.citation_triples(citations))
     row = spark.createDataFrame([(verify.SHAPE, "WARN" if held is None else "PASS" if held else "FAIL", int(held is True), 1, int(held is False), int(held is None), True, len(verify.ORDER) - 1)], "name string, status string, ok long, total long, failures long, warnings long, structural boolean, ord int")
-    return Report(report.checks.unionByName(row), report.findings, report.verdicts, report.resolved)
+    return Report(report.checks.unionByName(row), report.findings, report.verdicts, report.resolved, report.outcomes)
 
 
 def locate(spark: SparkSession, pairs: DataFrame, id_cols: list[str], **options) -> DataFrame:

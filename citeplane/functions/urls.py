@@ -1,4 +1,4 @@
-"""URLs, document keys, claims of repositories and names that mint URLs, as Column expressions."""
+"""URLs, document keys, keys of repositories and names that mint URLs, as Column expressions."""
 
 from __future__ import annotations
 
@@ -29,15 +29,8 @@ def cache_key(url: Column) -> Column:
     return F.substring(F.sha2(document_url(url), 256), 1, 16)
 
 
-def claimed_by(url: Column, claims=fixed.CLAIMS) -> Column:
-    """The first repository whose pattern is found in the URL without its anchor; null where none is."""
-    url, out = document_url(url), None
-    for name, pattern in claims:
-        out = F.when(url.rlike(pattern), name) if out is None else out.when(url.rlike(pattern), name)
-    return out
-
-
-def _mdn_key(slug: Column) -> Column:
+def mdn_key(slug: Column) -> Column:
+    """The folder of a page, from its address."""
     slug = F.regexp_replace(F.try_url_decode(F.replace(slug, F.lit("+"), F.lit("%2B"))), r"\A/+|/+\z", "")
     for sign, word in fixed.MDN_FOLDERS:
         slug = F.replace(slug, F.lit(sign), F.lit(word))
@@ -45,19 +38,21 @@ def _mdn_key(slug: Column) -> Column:
     return F.when((slug != "") & ~key.rlike(r"(?:\A|/)\.{0,2}(?:/|\z)"), key)
 
 
-def repository_key(url: Column, claims=fixed.CLAIMS) -> Column:
-    """The key of the claimed document; null where the URL yields none."""
-    url, out = document_url(url), None
-    for name, pattern in claims:
-        raw = blank_to_null(F.regexp_extract(url, pattern, 1))
-        if name == "mdn":
-            raw = _mdn_key(raw)
-        elif name == "rfc":
-            raw = F.when(F.lower(raw).rlike(fixed.RFC_SAFE_KEY), F.lower(raw))
-        elif name.startswith("wik"):
-            raw = F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
-        out = F.when(url.rlike(pattern), raw) if out is None else out.when(url.rlike(pattern), raw)
-    return out
+def decoded_key(raw: Column) -> Column:
+    return F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
+
+
+def claimed_by(url: Column) -> Column:
+    """The repository, of those that come along, that claims a URL; null where none does."""
+    from citeplane.connectors import DEFAULT
+
+    return DEFAULT.claimed_by(url)
+
+
+def repository_key(url: Column) -> Column:
+    from citeplane.connectors import DEFAULT
+
+    return DEFAULT.key_of(url)
 
 
 def minted_url(name: Column, families=fixed.FAMILIES) -> Column:

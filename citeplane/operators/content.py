@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from citeplane import fixed
@@ -35,11 +36,30 @@ def named(name: str | None) -> str | None:
     return name if name in fixed.MIME else next((k for k, v in fixed.MIME.items() if v == name), None)
 
 
+@dataclass(frozen=True)
+class Format:
+    """A format that a user adds: those before it in order are asked first, and the four that come along last.
+
+    ``claims`` says whether a body is of it. The others take the body: its text, its title, its sections (null: it has
+    none), what a locator names (empty: nothing) and the locator of a quote with the text that was matched.
+    """
+
+    name: str
+    mime: str
+    claims: Callable[[str], bool]
+    text: Callable[[str], str] = str
+    title: Callable[[str], str] = lambda body: ""
+    sections: Callable[[str], Section | None] = lambda body: None
+    extract: Callable[[str, str], str] = lambda body, locator: ""
+    locate: Callable[[str, str], tuple[str, str] | None] = lambda body, quote: None
+
+
 class Document:
     """A body with what is parsed of it once: one per document, for all its targets."""
 
-    def __init__(self, body: str):
+    def __init__(self, body: str, formats: tuple[Format, ...] = ()):
         self.body = body
+        self.formats = {f.name: f for f in formats}
         self._kind: str | None = None
         self._tree: markup.Element | None = None
         self._outlines: dict[str, Section] = {}
@@ -47,9 +67,17 @@ class Document:
     @property
     def kind(self) -> str:
         if self._kind is None:
-            self._kind = detect(self.body)
+            self._kind = next((f.name for f in self.formats.values() if f.claims(self.body)), None) or detect(self.body)
         return self._kind
 
+    def named(self, name: str | None) -> str | None:
+        """A format by its own name or its media type, if just one has that."""
+        if name in self.formats:
+            return name
+        own = [f.name for f in self.formats.values() if f.mime == name]
+        shipped = named(name)
+        return (own[0] if len(own) == 1 and shipped is None else None) if own else shipped
+
     @property
     def tree(self) -> markup.Element:
         if self._tree is None:
@@ -61,15 +89,21 @@ class Document:
         kind = kind or self.kind
         if kind == PLAIN:
             return None
+        if kind in self.formats:
+            return self.formats[kind].sections(self.body)
         if kind not in self._outlines:
             self._outlines[kind] = outline.of_html(self.tree) if kind == HTML else outline.of_markdown(self.body) if kind == MARKDOWN else outline.of_wikitext(self.body)
         return self._outlines[kind]
 
     def text(self, kind: str | None = None) -> str:
+        if (kind or self.kind) in self.formats:
+            return self.formats[kind or self.kind].text(self.body)
         return markup.text_of(markup.content(self.tree)) if (kind or self.kind) == HTML else self.body
 
     def title(self, kind: str | None = None) -> str:
         kind = kind or self.kind
+        if kind in self.formats:
+            return self.formats[kind].title(self.body)
         if kind == PLAIN:
             return ""
         if kind == HTML:
@@ -96,6 +130,8 @@ class Document:
         return outline.follow(root, selector)
 
     def _by(self, kind: str, locator: str) -> str:
+        if kind in self.formats:
+            return self.formats[kind].extract(self.body, locator)
         if kind == HTML:
             return "\n\n".join(markup.text_of(e) for e in markup.select(self.tree, locator))
         if kind == PLAIN:
@@ -109,7 +145,7 @@ class Document:
         """What a target names. ``kind`` is a format, a media type, or ``section``. Strict: nothing found is an error."""
         if kind == "section":
             return self._section(locator or "", self.kind)
-        fmt = named(kind) or self.kind
+        fmt = self.named(kind) or self.kind
         if not locator:
             return self.text(fmt)
         if _LINES.fullmatch(locator.strip()):
@@ -121,7 +157,10 @@ class Document:
 
     def locate(self, quote: str, kind: str | None = None) -> tuple[str, str, str] | None:
         """(format, locator, matched text) of a quote."""
-        fmt, quote = named(kind) or self.kind, squeeze(quote)
+        fmt, quote = self.named(kind) or self.kind, squeeze(quote)
+        if fmt in self.formats:
+            found = self.formats[fmt].locate(self.body, quote)
+            return (fmt, *found) if found else None
         if fmt == PLAIN:
             return locate_lines(self.body, quote)
         if fmt != HTML:

@@ -28,7 +28,7 @@ def lots(targets: DataFrame) -> DataFrame:
     return each.groupBy("doc_key", "__lot").agg(F.collect_list(F.struct("format", "locator", "anchor", "url")).alias("targets")).drop("__lot")
 
 
-def extract(targets: DataFrame, documents: DataFrame) -> DataFrame:
+def extract(targets: DataFrame, documents: DataFrame, formats: tuple[content.Format, ...] = ()) -> DataFrame:
     """Outcomes (doc_key, format, locator, anchor, text, status, reason) of ``targets`` (with url) in ``documents``
     (doc_key, body, miss): ``miss`` is a status and ``miss_reason`` a reason where the document isn't to be had."""
     schema = T.StructType([*(T.StructField(k, T.StringType()) for k in KEYS), *(T.StructField(k, T.StringType()) for k in ("text", "status", "reason"))])
@@ -39,7 +39,7 @@ def extract(targets: DataFrame, documents: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[dict] = []
             for key, body, miss, why, listed in zip(*(c.to_pylist() for c in batch.columns)):
-                doc = content.Document(body) if body else None
+                doc = content.Document(body, formats) if body else None  # one tree at a time: the one before it is let go
                 for t in listed:
                     if miss:
                         got = content.Outcome("", miss, why or "")
@@ -49,3 +49,28 @@ def extract(targets: DataFrame, documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, pa.schema([(f.name, pa.string()) for f in schema.fields]))
 
     return rows.mapInArrow(run, schema)
+
+
+def stamped(documents: DataFrame) -> DataFrame:
+    """``documents`` with ``stamp``, which is another as soon as the body or the reason for having none is another."""
+    return documents.withColumn("stamp", F.sha2(F.concat_ws("\0", F.coalesce("body", F.lit("")), F.coalesce("miss", F.lit("")), F.coalesce("miss_reason", F.lit(""))), 256))
+
+
+def extract_new(targets: DataFrame, documents: DataFrame, known: DataFrame | None, formats: tuple[content.Format, ...] = ()) -> DataFrame:
+    """Outcomes as ``extract`` gives them, with ``stamp``; those that ``known``, outcomes of a run before, has for the
+    same target and the same document are taken from there, and only the rest is parsed."""
+    documents = materialize(stamped(documents))
+    stamps = documents.groupBy(F.col("doc_key").alias("__d")).agg(F.min("stamp").alias("stamp"))
+    if known is not None:
+        each = materialize(targets.groupBy(*KEYS).agg(F.min("url").alias("url")).join(materialize(stamps), F.col("doc_key") == F.col("__d"), "left").drop("__d"))
+        had = known.select(*(F.col(k).alias(f"__{k}") for k in KEYS), "text", "status", "reason", F.col("stamp").alias("__s")).dropDuplicates([f"__{k}" for k in KEYS])
+        same = (F.col("doc_key") == F.col("__doc_key")) & (F.col("stamp") == F.col("__s"))
+        for k in KEYS[1:]:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        kept = each.join(had, same).select(*KEYS, "text", "status", "reason", "stamp")
+        targets = each.join(had, same, "left_anti").select(*KEYS, "url")
+        # Only documents that something new is asked of are read again.
+        documents = documents.join(targets.select(F.col("doc_key").alias("__k")).distinct(), F.col("doc_key") == F.col("__k"), "left_semi")
+    got = extract(targets, documents.drop("stamp"), formats)
+    got = got.join(stamps, F.col("doc_key") == F.col("__d"), "left").drop("__d")
+    return got if known is None else got.unionByName(kept)

@@ -36,7 +36,7 @@ def find(doc: content.Document, quote: str, kind: str | None = None) -> dict:
     return found | {"hint": hint_of(diagnosis.closest(quote, text))}
 
 
-def locate(pairs: DataFrame, id_cols: list[str], body: str = "body", quote: str = "quote", kind: str | None = None) -> DataFrame:
+def locate(pairs: DataFrame, id_cols: list[str], body: str = "body", quote: str = "quote", kind: str | None = None, formats: tuple[content.Format, ...] = ()) -> DataFrame:
     """``id_cols`` and where each row's quote stands in its body; null bodies and quotes are empty."""
     rows = pairs.select(*id_cols, body, quote)
     heads = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*id_cols).schema.fields)
@@ -48,7 +48,7 @@ def locate(pairs: DataFrame, id_cols: list[str], body: str = "body", quote: str
             out = []
             for b, q in zip(batch.column(len(id_cols)).to_pylist(), batch.column(len(id_cols) + 1).to_pylist()):
                 if last is None or last[0] != b:
-                    last = b, content.Document(b or "")
+                    last = b, content.Document(b or "", formats)
                 out.append(find(last[1], q or "", kind))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(id_cols)], *(pa.array([o[n] for o in out], t) for n, t in made)], names=[*id_cols, *(n for n, _ in made)])
 

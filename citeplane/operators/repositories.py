@@ -10,38 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeplane import fixed
+from citeplane.connectors import DEFAULT, Registry
 from citeplane.functions import text
 from citeplane.scratch import materialize
 from citeplane.sources import payloads
 
 
-def _gutenberg_rank(location: Column, title: Column, number: Column, matches: Column) -> Column:
-    """By book of the Bible, by book of a classic, by chapter number, by a title that only one chapter has."""
-    title = F.lower(F.coalesce(title, F.lit("")))
-    books = F.create_map(*(F.lit(x) for kv in fixed.BIBLE_BOOKS.items() for x in kv))
-    book = books[F.lower(F.trim(F.regexp_extract(location, fixed.BIBLE_REFERENCE, 1)))]
-    classic = F.regexp_extract(location, fixed.CLASSICAL_REFERENCE, 2)
-    in_title = (classic != "") & F.regexp_like(title, F.concat(F.lit(r"(?i)\bbook\s+"), F.lower(classic), F.lit(r"\b")))
-    chapter = F.regexp_extract(location, fixed.CHAPTER_NUMBER, 1).try_cast("int")
-    return F.when(F.contains(title, book), 1).when(in_title, 2).when(number == chapter, 3).when(matches == 1, 4)
-
-
 def _titled(location: Column, title: Column) -> Column:
     want, have = F.lower(F.trim(location)), F.lower(F.coalesce(title, F.lit("")))
     return (want != "") & (have != "") & (F.contains(have, want) | F.contains(want, have))
 
 
-def _wikisource_rank(location: Column, name: Column) -> Column:
-    """Exact name, then likeness to what follows a colon, then likeness to all of it, then the main page."""
-    section = F.trim(F.regexp_extract(location, r"(?s)\Asection:(.+)", 1))
-    low, main = F.lower(name), name == "main"
-    alike = lambda s: ~main & (F.contains(low, s) | F.contains(s, low))
-    after = text.file_slug(F.trim(F.regexp_replace(location, r"(?s)\A[^:]*:", "")))
-    named = F.when(name == section, 1).when(low == F.lower(section), 2)
-    return F.when(section != "", named).when(name == location, 1).when(F.contains(location, F.lit(":")) & alike(after), 2).when(alike(text.file_slug(location)), 3).when(main, 4)
-
-
-def choose(targets: DataFrame, files: DataFrame) -> DataFrame:
+def choose(targets: DataFrame, files: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
     """(repo, key, location, name) for the distinct targets (repo, key, location) that have a file; whole books apart."""
     each = targets.select("repo", "key", "location").distinct()
     # A plain chapter number, the usual location in a large book, meets its chapter by key; the rest meet all of theirs.
@@ -53,43 +33,31 @@ def choose(targets: DataFrame, files: DataFrame) -> DataFrame:
     count = rows.where("__titled").groupBy("repo", "key", "location").agg(F.count("*").alias("__m"))
     rows = rows.join(count, ["repo", "key", "location"], "left")
     only = F.when(F.col("__titled"), F.col("__m"))
-    rank = F.when(F.col("repo") == "gutenberg", F.when(F.trim("location") != "", _gutenberg_rank(F.col("location"), F.col("title"), F.col("number"), only)))
-    rank = rank.when(F.col("repo") == "wikisource", _wikisource_rank(F.col("location"), F.col("name"))).otherwise(F.lit(0))
-    best = rows.withColumn("__rank", rank).where("__rank is not null").groupBy("repo", "key", "location")
+    rank = registry.rank_of(F.col("repo"), F.col("location"), F.col("name"), F.col("title"), F.col("number"), only)
+    best = rows.withColumn("__rank", rank).where("__rank >= 0").groupBy("repo", "key", "location")
     return best.agg(F.min_by("name", F.struct("__rank", F.coalesce("number", F.lit(0)), "name")).alias("name")).unionByName(by_number)
 
 
-def books(files: DataFrame) -> DataFrame:
+def books(files: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
     """(repo, key, body): the chapters of each book in order; none if a chapter lacks its text."""
-    chapters = files.where("repo = 'gutenberg'").groupBy("repo", "key")
+    chapters = files.where(F.col("repo").isin(*registry.books)).groupBy("repo", "key")
     return chapters.agg(F.sort_array(F.collect_list(F.struct("number", text.strip_leading_headers(F.col("body")).alias("t")))).alias("c"), F.count("*").alias("n"), F.count("body").alias("m")).where("n = m").select("repo", "key", F.array_join(F.transform("c", lambda x: x["t"]), "\n\n").alias("body"))
 
 
-def _verses(body: Column, location: Column) -> Column:
-    chapter, first, last = (F.regexp_extract(location, fixed.BIBLE_VERSES, i).try_cast("int") for i in (1, 2, 3))
-    of = lambda x, i: F.regexp_extract(x, fixed.BIBLE_VERSE_LINE, i).try_cast("int")
-    kept = F.filter(F.split(body, "\n"), lambda x: (of(x, 1) == chapter) & of(x, 2).between(first, last))
-    return F.when(chapter.isNotNull(), F.array_join(kept, "\n"))
-
-
-def documents(targets: DataFrame, files: DataFrame, crawls: DataFrame, crawl: bool = True) -> DataFrame:
+def documents(targets: DataFrame, files: DataFrame, crawls: DataFrame, crawl: bool = True, registry: Registry = DEFAULT) -> DataFrame:
     """(doc_key, body, miss, miss_reason) of the repository targets (doc_key, repo, key, location)."""
     each = targets.select("doc_key", "repo", "key", "location").distinct()
-    chosen = choose(each, files).join(files.select("repo", "key", "name", F.col("body").alias("__body")), ["repo", "key", "name"])
-    whole = each.where("repo = 'gutenberg' and trim(location) = ''").select("repo", "key", "location").distinct().join(books(files), ["repo", "key"]).select("repo", "key", "location", F.col("body").alias("__body"))
+    chosen = choose(each, files, registry).join(files.select("repo", "key", "name", F.col("body").alias("__body")), ["repo", "key", "name"])
+    whole = each.where(F.col("repo").isin(*registry.books) & (F.trim("location") == "")).select("repo", "key", "location").distinct().join(books(files, registry), ["repo", "key"]).select("repo", "key", "location", F.col("body").alias("__body"))
     found = chosen.select("repo", "key", "location", "__body").unionByName(whole)
     cached = files.select("repo", "key").distinct().withColumn("__cached", F.lit(True))
     outcome = crawls.withColumn("__r", F.row_number().over(Window.partitionBy("repo", "key").orderBy("status", "reason"))).where("__r = 1").select("repo", "key", F.col("status").alias("__status"), F.col("reason").alias("__reason"))
     rows = each.join(found, ["repo", "key", "location"], "left").join(cached, ["repo", "key"], "left").join(outcome, ["repo", "key"], "left")
     at = F.col("location")
-    body = (
-        F.when(F.col("repo") == "gutenberg", F.coalesce(_verses(F.col("__body"), at), F.when(F.regexp_extract(at, r"lines:(\d+-\d+)", 1) != "", text.line_range(F.col("__body"), F.regexp_extract(at, r"lines:(\d+-\d+)", 1))), F.col("__body")))
-        .when(F.col("repo").isin("archive", "wikisource"), text.repository_text(F.col("__body"), at))
-        .otherwise(F.col("__body"))
-    )
+    body = registry.text_of(F.col("repo"), F.col("__body"), at)
     name = F.concat(F.col("repo"), F.lit(": "), F.col("key"))
     bad = F.col("__status").isin("not_found", "unavailable") & F.col("__cached").isNull()
     miss = F.when(bad, F.col("__status")).when(F.col("__body").isNull(), "no_file").when(F.col("__body") == "", "empty")
     off = F.lit(" is not cached, and crawling is off") if not crawl else F.lit(" is not cached")
     reason = F.when(bad, F.concat(name, F.lit(" "), F.coalesce("__reason", F.col("__status")))).when(F.col("__body").isNull() & F.col("__cached").isNotNull(), F.concat(name, F.lit(' holds nothing for location "'), at, F.lit('"'))).when(F.col("__body").isNull(), F.concat(name, off)).when(F.col("__body") == "", F.concat(name, F.lit(" is cached but empty")))
-    return payloads.rendered(rows.select("doc_key", "repo", "location", body.alias("body"), miss.alias("miss"), reason.alias("miss_reason")))
+    return payloads.rendered(rows.select("doc_key", "repo", "location", body.alias("body"), miss.alias("miss"), reason.alias("miss_reason")), registry.rendered)

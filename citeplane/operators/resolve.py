@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeplane.connectors import DEFAULT, Registry
 from citeplane.functions import formats, text, urls
 from citeplane.scratch import materialize
 
@@ -37,10 +38,10 @@ def targeting(section: Column, css: Column, lines: Column, kind: Column) -> tupl
     return F.when(section.isNotNull(), "section").otherwise(F.coalesce(formats.normalize_mime(kind), F.lit(""))), locator
 
 
-def _route(rows: DataFrame, found: Column, miss: Column, fetcher: bool, crawlers: tuple[str, ...] | None) -> DataFrame:
+def _route(rows: DataFrame, found: Column, miss: Column, fetcher: bool, crawlers: tuple[str, ...] | None, registry: Registry) -> DataFrame:
     """Adds who serves the URL: the repository that claims it, or the fetcher, with the reason where that stands in."""
     # Inside a lambda the many patterns are evaluated once a row and stay out of the generated code.
-    claim = F.transform(F.array("url"), lambda u: F.struct(urls.claimed_by(u).alias("claim"), urls.repository_key(u).alias("key")))[0]
+    claim = F.transform(F.array("url"), lambda u: F.struct(registry.claimed_by(u).alias("claim"), registry.key_of(u).alias("key")))[0]
     rows = rows.withColumn("__c", claim).withColumn("__claim", F.col("__c.claim")).withColumn("key", F.col("__c.key")).drop("__c").withColumn("anchor", F.coalesce(urls.url_anchor(F.col("url")), F.lit("")))
     reason = F.when(F.col("__claim").isNotNull() & F.col("key").isNull(), "this URL yields no key for it")
     if crawlers is not None:
@@ -58,18 +59,18 @@ def _route(rows: DataFrame, found: Column, miss: Column, fetcher: bool, crawlers
 RESOLVED = ("urn", "label", "source", "url", "location", "snippet", "status", "kind", "repo", "key", "format", "locator", "anchor", "fallback_from", "fallback_reason", "doc_key")
 
 
-def chain(fragments: DataFrame, sources: DataFrame, fetcher: bool = True, crawlers: tuple[str, ...] | None = None) -> DataFrame:
+def chain(fragments: DataFrame, sources: DataFrame, fetcher: bool = True, crawlers: tuple[str, ...] | None = None, registry: Registry = DEFAULT) -> DataFrame:
     """Fragments with the source, the URL and the target that they name."""
     known = source_urls(sources).select(F.col("source_id").alias("__sid"), F.col("label").alias("source"), F.col("type").alias("__type"), F.col("resolved_url").alias("url"))
     rows = fragments.join(materialize(known), F.col("source_id") == F.col("__sid"), "left")
     kind, locator = targeting(F.col("section"), F.col("selector"), F.col("lines"), F.col("__type"))
     rows = rows.withColumn("format", kind).withColumn("locator", locator).withColumn("location", F.coalesce("location", F.lit("")))
-    rows = _route(rows, F.col("url").isNotNull(), F.when(F.col("__sid").isNull(), "no_source").otherwise("no_url"), fetcher, crawlers)
+    rows = _route(rows, F.col("url").isNotNull(), F.when(F.col("__sid").isNull(), "no_source").otherwise("no_url"), fetcher, crawlers, registry)
     return rows.select(*RESOLVED)
 
 
-def direct(terms: DataFrame, fetcher: bool = True, crawlers: tuple[str, ...] | None = None) -> DataFrame:
+def direct(terms: DataFrame, fetcher: bool = True, crawlers: tuple[str, ...] | None = None, registry: Registry = DEFAULT) -> DataFrame:
     """Terms, which name their URL themselves."""
     kind, locator = targeting(F.col("section"), F.col("selector"), F.col("lines"), F.col("type"))
     rows = terms.withColumn("url", text.blank_to_null(F.col("url"))).withColumn("source", F.lit("")).withColumn("format", kind).withColumn("locator", locator).withColumn("location", F.coalesce("location", F.lit("")))
-    return _route(rows, F.col("url").isNotNull(), F.lit("no_url"), fetcher, crawlers).select(*RESOLVED)
+    return _route(rows, F.col("url").isNotNull(), F.lit("no_url"), fetcher, crawlers, registry).select(*RESOLVED)

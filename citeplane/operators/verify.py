@@ -6,14 +6,16 @@ before that stage, so the rest never pays for it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeplane import schemas
+from citeplane.connectors import DEFAULT, Registry
 from citeplane.functions import text, urls
-from citeplane.operators import extract, locate, repositories, resolve
+from citeplane.operators import content, extract, locate, repositories, resolve
 from citeplane.scratch import materialize
 
 CACHE, CONTENT, SNIPPET = "Fragments: cache resolution", "Fragments: content extraction", "Fragments: snippet verified"
@@ -53,6 +55,12 @@ class Options:
     crawl: bool = True
     fetcher: bool = True
     crawlers: tuple[str, ...] | None = None
+    #: Repositories that claim URLs, and formats asked before those that come along.
+    registry: Registry = DEFAULT
+    formats: tuple[content.Format, ...] = ()
+    #: Further checks by name: each gets the citations, the world and the resolved targets, and returns rows with ok and,
+    #: for those that failed, severity, source, label, url, urn and reason; columns that it leaves out are empty.
+    custom: tuple[tuple[str, Callable[[Citations, World, DataFrame], DataFrame]], ...] = ()
 
 
 @dataclass
@@ -61,18 +69,20 @@ class Report:
     findings: DataFrame
     verdicts: DataFrame
     resolved: DataFrame = field(repr=False, default=None)
+    #: What each target held, with its document's stamp: ``known`` of the next run.
+    outcomes: DataFrame = field(repr=False, default=None)
 
 
-def outcomes(resolved: DataFrame, world: World, options: Options) -> DataFrame:
-    """(doc_key, format, locator, anchor, text, status, reason) of every distinct target."""
+def outcomes(resolved: DataFrame, world: World, options: Options, known: DataFrame | None = None) -> DataFrame:
+    """(doc_key, format, locator, anchor, text, status, reason, stamp) of every distinct target."""
     spark = resolved.sparkSession
     found = resolved.where("status = 'resolved'")
     fetched = world.documents.groupBy(urls.document_url(F.col("url")).alias("__u")).agg(F.min("body").alias("body"))
     pages = fetched.select(F.concat(F.lit("url:"), F.col("__u")).alias("doc_key"), "body", F.lit(None).cast("string").alias("miss"), F.lit(None).cast("string").alias("miss_reason"))
     files = world.files if world.files is not None else _none(spark, schemas.REPO_FILES)
     crawls = world.crawls if world.crawls is not None else _none(spark, schemas.CRAWLS)
-    held = repositories.documents(found.where("kind = 'repo'"), files, crawls, options.crawl)
-    return extract.extract(found.select(*extract.KEYS, "url"), pages.unionByName(held))
+    held = repositories.documents(found.where("kind = 'repo'"), files, crawls, options.crawl, options.registry)
+    return extract.extract_new(found.select(*extract.KEYS, "url"), pages.unionByName(held), known, options.formats)
 
 
 def _failed(check: str, ord_: str, reason: Column, severity: str = "failure", item: Column | None = None, source: Column | None = None, urn: Column | None = None) -> list[Column]:
@@ -170,15 +180,25 @@ def _ordered(rows: DataFrame, offset: int) -> DataFrame:
     return rows.withColumn("ord", F.concat(F.lit(str(offset)), "urn"))
 
 
-def check(citations: Citations, world: World, options: Options = Options()) -> Report:  # noqa: B008
-    """The full verification. Targets and verdicts are made and written at once; the report's frames are made as read."""
+def custom_check(name: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with ok, findings) of a check that a user has added."""
+    given = lambda c, kind="string", default=None: F.coalesce(F.col(c).cast(kind), F.lit(default)) if c in rows.columns else F.lit(default).cast(kind)
+    columns = [F.lit(name).alias("check"), given("severity", default="failure").alias("severity"), given("source", default="(no source)").alias("source"), given("label", default="").alias("label"), given("url", default="").alias("url"), given("urn", default="").alias("urn"), given("reason", default="failed").alias("reason"), given("urn", default="").alias("ord")]
+    return rows.select(F.coalesce("ok", F.lit(False)).alias("ok")), rows.where(~F.coalesce("ok", F.lit(False))).select(*columns)
+
+
+def check(citations: Citations, world: World, options: Options = Options(), known: DataFrame | None = None) -> Report:  # noqa: B008
+    """The full verification. Targets and verdicts are made and written at once; the report's frames are made as read.
+
+    ``known`` are the outcomes of a run before: targets in documents that haven't changed since aren't parsed again.
+    """
     spark = citations.fragments.sparkSession
-    resolved = _ordered(resolve.chain(citations.fragments, citations.sources, options.fetcher, options.crawlers), 0)
-    terms = _ordered(resolve.direct(citations.terms if citations.terms is not None else _none(spark, schemas.TERMS), options.fetcher, options.crawlers), 1)
+    resolved = _ordered(resolve.chain(citations.fragments, citations.sources, options.fetcher, options.crawlers, options.registry), 0)
+    terms = _ordered(resolve.direct(citations.terms if citations.terms is not None else _none(spark, schemas.TERMS), options.fetcher, options.crawlers, options.registry), 1)
     # Read by five checks: written once, so that neither the work nor the plan is repeated.
     every = materialize(resolved.unionByName(terms))
     resolved, terms = (every.where(F.col("ord").startswith(k)) for k in "01")
-    got = materialize(outcomes(every, world, options))
+    got = materialize(outcomes(every, world, options, known))
     judged = materialize(chain_verdicts(resolved, got))
     where = F.when(F.col("kind") == "fetcher", F.coalesce("locator", F.lit(""))).otherwise("")
     findings = [judged.where(f"{c} is not null").select(*_failed(name, "ord", F.col(c)), "quote", "text", where.alias("where")) for c, name in (("fail_cache", CACHE), ("fail_content", CONTENT), ("fail_snippet", SNIPPET))]
@@ -201,6 +221,7 @@ def check(citations: Citations, world: World, options: Options = Options()) -> R
         (REPOS, repo_check(every, world.crawls if world.crawls is not None else _none(spark, schemas.CRAWLS), options.strict_repos)),
         (SUPERSEDED, supersession_check(every, world.supersessions if world.supersessions is not None else _none(spark, schemas.SUPERSESSIONS), options.strict_supersession)),
     ]
+    runs += [(name, custom_check(name, materialize(f(citations, world, every)))) for name, f in options.custom]
     counted = None
     for name, rows in ((CACHE, judged.select(F.col("fail_cache").isNull().alias("ok"))), (CONTENT, judged.select(F.col("fail_content").isNull().alias("ok"))), (SNIPPET, judged.select(F.col("fail_snippet").isNull().alias("ok"))), (TERMS, of_terms.select(F.col("fail").isNull().alias("ok"))), *((n, r[0]) for n, r in filter(None, runs))):
         one = rows.agg(F.count_if("ok").alias("ok"), F.count("*").alias("total")).select(F.lit(name).alias("name"), "ok", "total")
@@ -210,7 +231,7 @@ def check(citations: Citations, world: World, options: Options = Options()) -> R
     sites = citations.cite_sites if citations.cite_sites is not None else _none(spark, schemas.CITE_SITES)
     failed = materialize(with_cite_sites(failed, sites))
     verdicts = judged.select("urn", F.when(F.col("fail_snippet").isNull(), "verified").otherwise("failed").alias("status"), "ord")
-    return Report(roll_up(counted, failed), failed, verdicts, every)
+    return Report(roll_up(counted, failed, tuple(n for n, _ in options.custom)), failed, verdicts, every, got)
 
 
 def with_cite_sites(findings: DataFrame, sites: DataFrame) -> DataFrame:
@@ -222,11 +243,11 @@ def with_cite_sites(findings: DataFrame, sites: DataFrame) -> DataFrame:
     return findings.join(listed, (F.col("urn") == F.col("__n")) & (F.col("urn") != ""), "left").drop("__n").withColumn("cited_by", F.coalesce("cited_by", none))
 
 
-def roll_up(counted: DataFrame, findings: DataFrame) -> DataFrame:
+def roll_up(counted: DataFrame, findings: DataFrame, custom: tuple[str, ...] = ()) -> DataFrame:
     """Checks (name, status, ok, total, failures, warnings, structural, ord); those of a run only where they count something."""
     bad = findings.groupBy(F.col("check").alias("__c")).agg(F.count_if(F.col("severity") == "failure").alias("failures"), F.count_if(F.col("severity") == "warning").alias("warnings"))
     rows = counted.where(~F.col("name").isin(URLS, REPOS, SUPERSEDED) | (F.col("total") > 0)).join(bad, F.col("name") == F.col("__c"), "left").fillna(0, ["failures", "warnings"])
-    return rows.select("name", verdict(F.col("total"), F.col("failures"), F.col("warnings")).alias("status"), "ok", "total", "failures", "warnings", (F.col("name") == SHAPE).alias("structural"), (F.array_position(F.lit(list(ORDER)), F.col("name")) - 1).cast("int").alias("ord"))
+    return rows.select("name", verdict(F.col("total"), F.col("failures"), F.col("warnings")).alias("status"), "ok", "total", "failures", "warnings", (F.col("name") == SHAPE).alias("structural"), (F.array_position(F.lit([*ORDER, *custom]), F.col("name")) - 1).cast("int").alias("ord"))
 
 
 def verdict(total: Column, failures: Column, warnings: Column) -> Column:

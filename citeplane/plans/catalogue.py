@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeplane import fixed, schemas
+from citeplane.connectors import DEFAULT
 from citeplane.functions import formats, text, urls
 from citeplane.operators import constraints, extract, locate, repositories, resolve, search, verify
 from citeplane.sources import payloads, rdf
@@ -127,7 +128,7 @@ _REPO_URLS_SQL = "select p_partkey, case p_partkey % 9 " + " ".join(f"when {i} t
  case p_partkey % 9 when 0 then 'item' || p_partkey when 1 then '' || p_partkey when 2 then 'en-us/web/css/_colon_is_' || p_partkey when 4 then 'rfc' || p_partkey when 5 then 'Book_' || p_partkey || ' Two' when 6 then 'w' || p_partkey when 8 then 'draft-ab-c.d' || p_partkey end as repo_key from u""")
 def repo_claim(spark, sf_dir):
     """Which repository claims a URL, and under which key."""
-    return _repo_urls(spark, sf_dir).select("p_partkey", urls.claimed_by(F.col("url")).alias("repo"), urls.repository_key(F.col("url")).alias("repo_key"))
+    return _repo_urls(spark, sf_dir).select("p_partkey", DEFAULT.claimed_by(F.col("url")).alias("repo"), DEFAULT.key_of(F.col("url")).alias("repo_key"))
 
 
 @_query("""select p_partkey, case p_partkey % 7 when 0 then 'https://archive.org/details/' || p_partkey when 1 then 'https://www.gutenberg.org/ebooks/' || p_partkey when 2 then 'https://developer.mozilla.org/en-US/docs/' || p_partkey
@@ -136,7 +137,7 @@ def pattern_mint(spark, sf_dir):
     """URLs that names mint: the first family of names decides."""
     heads = ("Archive ", "Gutenberg ", "MDN ", "RFC ", "Wikisource ", "Wiktionary ", "Nobody ")
     name = F.concat(F.element_at(F.array(*map(F.lit, heads)), (F.col("p_partkey") % 7 + 1).cast("int")), F.col("p_partkey").cast("string"))
-    return _table(spark, sf_dir, "part").select("p_partkey", urls.minted_url(name).alias("url"))
+    return _table(spark, sf_dir, "part").select("p_partkey", DEFAULT.minted_url(name).alias("url"))
 
 
 # text
