@@ -1,10 +1,10 @@
-"""Command line: check, validate, locate, add and emit. Documents come from a Parquet table (url, body)."""
+"""Command line: check, validate, locate, add, emit and fetch. Documents come from a Parquet table (url, body)."""
 
 from __future__ import annotations
 
 import argparse
-import json
 import sys
+from dataclasses import replace
 from pathlib import Path
 
 
@@ -22,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
     check = commands.add_parser("check")
     check.add_argument("path")
     check.add_argument("--documents", required=True)
-    for table in ("fetches", "files", "crawls", "supersessions"):
+    for table in ("fetches", "files", "crawls", "supersessions", "known", "config"):
         check.add_argument(f"--{table}")
     for flag in ("strict-redirects", "strict-repos", "strict-supersession", "no-crawl", "json", "summary", "shapes"):
         check.add_argument(f"--{flag}", action="store_true")
@@ -39,33 +39,57 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--label")
         c.add_argument("url")
         c.add_argument("snippet")
+        else:
+            c.add_argument("--format", choices=("yaml", "turtle"), default="yaml")
+        for table in ("fetches", "files", "crawls", "config"):
+            c.add_argument(f"--{table}")
         c.add_argument("--documents", required=True)
+    fetch = commands.add_parser("fetch", help="ask for the documents that are not in a table yet, and add them to it")
+    fetch.add_argument("path")
+    fetch.add_argument("table")
+    fetch.add_argument("--force", action="store_true")
+    fetch.add_argument("--config")
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
-    from citeplane import api, report
+    from citeplane import api, config, report
     from citeplane.operators import constraints
-    from citeplane.operators.verify import Options, World, summary
+    from citeplane.operators.verify import World, summary
     from citeplane.sources import rdf, sources_file
 
     spark = _session()
+    settings = config.load(getattr(a, "config", None))
+    table = lambda p: spark.read.parquet(p) if p else None
     if a.command == "check":
-        table = lambda p: spark.read.parquet(p) if p else None
         world = World(table(a.documents), table(a.fetches), table(a.files), table(a.crawls), table(a.supersessions))
-        got = api.check(spark, api.load(spark, a.path), world, Options(a.strict_redirects, a.strict_repos, a.strict_supersession, not a.no_crawl), a.shapes)
-        print(json.dumps(report.as_json(got), ensure_ascii=False, indent=2) if a.json else report.as_text(got, a.summary))
+        given = {k: v for k, v in (("strict_redirects", a.strict_redirects), ("strict_repos", a.strict_repos), ("strict_supersession", a.strict_supersession)) if v} | ({"crawl": False} if a.no_crawl else {})
+        got = api.check(spark, api.load(spark, a.path), world, replace(settings.options, **given), a.shapes, table(a.known))
+        if a.json:
+            return int(report.write_json(got, sys.stdout))
+        for line in report.text_lines(got, a.summary):
+            print(line)
         return int(summary(got.checks).first()["failed"])
+    if a.command == "fetch":
+        from citeplane.operators import resolve
+        from citeplane.sources import fetch
+
+        cited = resolve.chain(*(lambda c: (c.fragments, c.sources))(api.load(spark, a.path)), registry=settings.options.registry)
+        got = fetch.refresh(cited.where("kind = 'fetcher'").select("url"), a.table, policy=settings.policy, force=a.force)
+        lost = got.where("body is null").count()
+        print(f"{got.count() - lost} documents, {lost} that could not be had")
+        return int(lost > 0)
     if a.command == "validate":
         triples = rdf.citation_triples(api.load(spark, a.path)) if a.path.endswith((".yaml", ".yml")) else rdf.load_triples(spark, a.path)[0]
         if triples.isEmpty():
             print("nothing to validate", file=sys.stderr)
             return 1
-        bad = constraints.violations(triples).orderBy("shape", "node", "path", "problem").collect()
-        for r in bad:
+        bad = 0
+        for r in constraints.violations(triples).orderBy("shape", "node", "path", "problem").toLocalIterator():
             print(f"{r['shape']}: {r['node']} {r['path']}: {r['problem']}")
-        return int(bool(bad))
+            bad = 1
+        return bad
     if a.command == "emit":
         triples = rdf.citation_triples(api.load(spark, a.path))
         if triples.isEmpty():
@@ -76,14 +100,15 @@ def main(argv: list[str] | None = None) -> int:
         if not api.default_identifiers(triples).isEmpty():
             print("identifiers are of the shared default namespace; a base in the file makes them your own", file=sys.stderr)
         return 0
-    docs = spark.read.parquet(a.documents)
-    body = docs.where(docs["url"] == a.url.partition("#")[0]).first()
+    body = api.body_of(spark, a.url, table(a.documents), table(a.files), table(a.crawls), settings.options)
     if body is None:
         print(f"no document of {a.url}", file=sys.stderr)
         return 1
+    if moved := api.moved_to(a.url, table(a.fetches)):
+        print(f"{a.url} leads to {moved}: what is located is that document; cite it by its own URL", file=sys.stderr)
     from citeplane.operators import content, diagnosis, locate
 
-    found = locate.find(content.Document(body["body"] or ""), a.snippet)
+    found = locate.find(content.Document(body, settings.options.formats), a.snippet)
     if found["found_by"] == "none":
         if h := found["hint"]:
             print("\n".join(diagnosis.render(diagnosis.Finding(**{k: v for k, v in h.items() if k != "percent"}))))
@@ -92,7 +117,7 @@ def main(argv: list[str] | None = None) -> int:
     if found["ambiguous"]:
         print(f"the quote stands in {found['ambiguous']} sections", file=sys.stderr)
     if a.command == "locate":
-        print(report.located_yaml(found, a.url, label, a.snippet), end="")
+        print((report.located_turtle if a.format == "turtle" else report.located_yaml)(found, a.url, label, a.snippet), end="")
         return 0
     import yaml
 

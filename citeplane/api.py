@@ -42,3 +42,40 @@ def emit(citations: Citations, name: str) -> DataFrame:
 def default_identifiers(triples: DataFrame) -> DataFrame:
     """Subjects under the namespace that files share, which collide across files: give such files a base."""
     return triples.where(triples["s"].startswith(sources_file.NAMESPACE)).select("s").distinct()
+
+
+def body_of(spark: SparkSession, url: str, documents: DataFrame, files: DataFrame | None = None, crawls: DataFrame | None = None, options: Options = Options(), location: str = "") -> str | None:  # noqa: B008
+    """The text of one document: a repository's, where one claims the URL and has it, else the fetched page."""
+    from citeplane import schemas
+    from citeplane.operators import repositories, resolve
+
+    term = [("urn:x", "x", url, None, location, None, None, None, None)]
+    found = resolve.direct(spark.createDataFrame(term, schemas.TERMS), registry=options.registry)
+    if files is not None:
+        none = spark.createDataFrame([], schemas.CRAWLS)
+        held = repositories.documents(found.where("kind = 'repo'"), files, crawls if crawls is not None else none, options.crawl, options.registry)
+        if (row := held.where("miss is null").first()) is not None:
+            return row["body"]
+    row = documents.where(documents["url"] == url.partition("#")[0]).first()
+    return None if row is None else row["body"] or ""
+
+
+def moved_to(url: str, fetches: DataFrame | None) -> str | None:
+    """Where a URL leads, if a fetch was redirected."""
+    row = None if fetches is None else fetches.where(fetches["url"] == url.partition("#")[0]).first()
+    return row["final_url"] if row is not None and row["chain"] else None
+
+
+def texts(spark: SparkSession, wanted: DataFrame, documents: DataFrame, most: int | None = 5000, options: Options = Options()) -> DataFrame:  # noqa: B008
+    """(url, format, locator, text, status, reason) of ``wanted`` (url, format, locator), cut to ``most`` characters with a mark."""
+    from citeplane.functions import text, urls
+    from citeplane.operators import extract
+    from pyspark.sql import functions as F
+
+    ship(spark)
+    key = lambda c: F.concat(F.lit("url:"), urls.document_url(F.col(c)))
+    none = F.lit(None).cast("string")
+    targets = wanted.select(key("url").alias("doc_key"), F.coalesce("format", F.lit("")).alias("format"), "locator", F.coalesce(urls.url_anchor(F.col("url")), F.lit("")).alias("anchor"), "url")
+    held = documents.select(key("url").alias("doc_key"), "body", none.alias("miss"), none.alias("miss_reason")).dropDuplicates(["doc_key"])
+    got = extract.extract(targets, held, options.formats)
+    return got.select(F.substring("doc_key", 5, 1 << 30).alias("url"), "format", "locator", text.truncate(F.col("text"), most).alias("text"), "status", "reason")

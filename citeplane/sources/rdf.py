@@ -22,6 +22,11 @@ CP = "urn:citeplane:vocabulary#"
 PREFIXES = {"rdf": RDF, "rdfs": RDFS, "xsd": XSD, "oa": OA, "prov": PROV, "dcterms": DCTERMS, "schema": SCHEMA, "bibo": BIBO, "cp": CP}
 
 
+def empty(spark: SparkSession) -> tuple[DataFrame, dict[str, str]]:
+    """No triples, and the prefixes that this package's graphs are written with."""
+    return spark.createDataFrame([], schemas.TRIPLES), dict(PREFIXES)
+
+
 class TurtleError(ValueError):
     """Text outside the subset."""
 
