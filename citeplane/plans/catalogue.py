@@ -9,6 +9,7 @@ from citeplane import fixed, schemas
 from citeplane.connectors import DEFAULT
 from citeplane.functions import formats, text, urls
 from citeplane.operators import constraints, extract, locate, repositories, resolve, search, verify
+from citeplane.plans import derived
 from citeplane.sources import payloads, rdf
 
 QUERIES: dict = {}
@@ -515,3 +516,7 @@ def constraint_report(spark, sf_dir):
 def triples_round_trip(spark, sf_dir):
     """Fragments as they come back from triples."""
     return rdf.citations_of(rdf.citation_triples(_citations(spark, sf_dir))).fragments.select("urn", "source_id", "label", "snippet", "section", "lines")
+
+
+QUERIES |= derived.QUERIES
+SQL |= derived.SQL
