@@ -10,7 +10,7 @@ The scorer: features of restored words are the word and its beginnings, hashed t
 log-odds, comes from at most ``SAMPLE`` labelled documents, as counts; the score is a logistic function of a document's
 three strongest words and its length, fitted by Newton's method to evidence from the other half of the sample.
 
-A slice of about 4 MB of texts is worked on at a time and nothing else is remembered, so a worker's memory is bounded.
+A slice of about ``SLICE_BYTES`` of texts is worked on at a time and nothing else is remembered, so a worker's memory is bounded.
 Documents never move: the sample's ids, bounded by ``SAMPLE``, are broadcast; each pass is one scan. Defined results: a
 null text is empty and gets the score of no evidence; repeated rows are scored each; a null doc_id is not held out and
 has no label; of repeated labels 1 decides; null labels are left out; without labels of both kinds every score is the
@@ -40,8 +40,10 @@ TOP = 3
 SHRINK = 4.0
 #: Edges after which the search settles on the best path so far, so that its memory is bounded on tokens of any length.
 SETTLE = 256
+#: Bytes of texts that a task works on at once.
+SLICE_BYTES = 1 << 20
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåçéèêëíìîïñóòôöõúùûüýÿœæßø"
-_CLASS = np.full(0x250, 63, dtype=np.int64)
+_CLASS = np.full(0x250, 63, dtype=np.int32)
 for _c in range(0x250):
     _CLASS[_c] = LETTERS.index(chr(_c)) + 1 if chr(_c) in LETTERS else 63 if chr(_c).isalpha() else 0
 _OF = {c: i + 1 for i, c in enumerate(LETTERS)}
@@ -61,21 +63,31 @@ _PLAIN = re.compile(r"[^\W\d_]+")
 def trigrams(text: str) -> np.ndarray:
     """Trigram codes of a text: two borders stand before each word and behind it."""
     points = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)
-    codes = np.where(points < 0x250, _CLASS[np.minimum(points, 0x24F)], 63)
-    codes = np.concatenate([[0], codes, [0]])
+    codes = np.zeros(len(points) + 2, dtype=np.int32)
+    codes[1:-1] = np.where(points < 0x250, _CLASS[np.minimum(points, 0x24F)], 63)
     codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]
     codes = np.repeat(codes, np.where(codes == 0, 2, 1))
     return codes[:-2] << 12 | codes[1:-1] << 6 | codes[2:]
 
 
+def pieces(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """``text`` in pieces of about ``size`` characters, cut at blanks."""
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + size)
+        yield text[at : end if end >= 0 else len(text)]
+        at = end if end >= 0 else len(text)
+
+
 def count_trigrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(code, n) over all documents; each task adds its own counts first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 18, dtype=np.int64)
         for batch in batches:
-            for part in common.slices(batch, 0):
-                total += np.bincount(trigrams(" ".join(part.column(0).to_pylist())), minlength=1 << 18)
+            for part in common.slices(batch, 0, SLICE_BYTES):
+                for text in pieces(" ".join(part.column(0).to_pylist())):
+                    total += np.bincount(trigrams(text), minlength=1 << 18)
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], names=["code", "n"])
 
@@ -272,7 +284,7 @@ def score(docs: DataFrame, labels: DataFrame, names: list[str] = ["doc_id"], key
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, seen = Restorer(model.value), np.zeros((4, (1 << BITS) + 1), dtype=np.int32)
         for batch in batches:
-            for part in common.slices(batch, 2):
+            for part in common.slices(batch, 2, SLICE_BYTES):
                 tokens, number, words, ends = spelled_out(restorer, part.column(2).to_pylist())
                 found = features_of(words)
                 for y, fold, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), tokens):
@@ -307,7 +319,7 @@ def score(docs: DataFrame, labels: DataFrame, names: list[str] = ["doc_id"], key
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value, sent.value)
         for batch in batches:
-            for part in common.slices(batch, 2):
+            for part in common.slices(batch, 2, SLICE_BYTES):
                 x = scorer.inputs(part.column(2).to_pylist(), [1 + fold for fold in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy().astype(np.float64)), *map(pa.array, x.T)], names=[f"x{i}" for i in range(TOP + 2)])
 
@@ -327,7 +339,7 @@ def score(docs: DataFrame, labels: DataFrame, names: list[str] = ["doc_id"], key
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value, sent.value[:1])
         for batch in batches:
-            for part in common.slices(batch, at):
+            for part in common.slices(batch, at, SLICE_BYTES):
                 x = scorer.inputs([t or "" for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in out), pa.array(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))], names=[f.name for f in schema.fields])
 
