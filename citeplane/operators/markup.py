@@ -126,12 +126,48 @@ class UnsupportedSelector(ValueError):
 _TOKEN = re.compile(
     r"""(?P<comb>\s*[>+~]\s*|\s+)|(?P<tag>\*|[A-Za-z][\w-]*)|\#(?P<id>(?:[\w-]|\\.)+)|\.(?P<cls>(?:[\w-]|\\.)+)
     |\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>[~^$*|]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\]\s]+))\s*)?\]
-    |:(?P<nth>nth-child|nth-of-type)\(\s*(?P<n>\d+)\s*\)|:(?P<edge>first-child|last-child|first-of-type|last-of-type|only-child)\b""",
+    |:(?P<edge>first-child|last-child|first-of-type|last-of-type|only-child|only-of-type|empty|root)\b
+    |:(?P<fn>not|is|where|has|nth-child|nth-last-child|nth-of-type|nth-last-of-type)\(""",
     re.X,
 )
+_STEP = re.compile(r"\s*(?:(?P<word>odd|even)|(?P<a>[+-]?\d*)n\s*(?:(?P<sign>[+-])\s*(?P<b>\d+))?|(?P<one>[+-]?\d+))\s*\Z", re.I)
 
 
-def _compound(e: Element, tests: list[tuple]) -> bool:
+def _step(text: str) -> tuple[int, int]:
+    """(a, b) of the positions a * n + b, n from 0."""
+    m = _STEP.match(text)
+    if m is None:
+        raise UnsupportedSelector(f"no position: {text!r}")
+    if m["word"]:
+        return 2, int(m["word"].lower() == "odd")
+    if m["one"]:
+        return 0, int(m["one"])
+    return int(m["a"] + "1") if m["a"] in ("", "+", "-") else int(m["a"]), int((m["sign"] or "+") + (m["b"] or "0"))
+
+
+def _split(text: str, sign: str = ",") -> list[str]:
+    """Parts of a list, whose sign doesn't count in quotes, brackets and parentheses; with ``)`` up to the one that closes."""
+    out, depth, quote, begin, at = [], 0, "", 0, 0
+    while at < len(text):
+        c = text[at]
+        if c == "\\":
+            at += 1
+        elif quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c == sign and not depth:
+            out.append(text[begin:at])
+            begin = at + 1
+            if sign == ")":
+                return out
+        else:
+            depth += (c in "([") - (c in ")]")
+        at += 1
+    return [*out, text[begin:]] if sign == "," else []
+
+
+def _compound(e: Element, tests: list[tuple], scope: Element | None = None) -> bool:
     for kind, *v in tests:
         if kind == "tag":
             ok = v[0] == "*" or e.tag == v[0]
@@ -146,16 +182,46 @@ def _compound(e: Element, tests: list[tuple]) -> bool:
                 ok = have is not None
             else:
                 ok = {"=": have == want, "~=": want in have.split(), "^=": bool(want) and have.startswith(want), "$=": bool(want) and have.endswith(want), "*=": bool(want) and want in have, "|=": have == want or have.startswith(want + "-")}[op]
+        elif kind == "scope":
+            ok = e is scope
+        elif kind == "empty":
+            ok = not any(k for k in e.kids)
+        elif kind == "root":
+            ok = e.parent is None or not e.parent.tag
+        elif kind in ("is", "not"):
+            ok = any(_fits(e, c, len(c) - 1) for c in v[0]) == (kind == "is")
+        elif kind == "has":
+            ok = any(_fits(x, c, len(c) - 1, e) for c in v[0] for x in _around(e, c[1][0]))
         else:
-            typed, number, back = v
+            typed, a, b, back = v
             like = [s for s in (e.parent.elements() if e.parent else [e]) if not typed or s.tag == e.tag]
-            place = next(i for i, s in enumerate(like) if s is e)
-            ok = number == (len(like) - place if back else place + 1) if kind == "nth" else len(like) == 1
+            place = next(i for i, s in enumerate(like) if s is e) + 1
+            if kind == "only":
+                ok = len(like) == 1
+            else:
+                off = (len(like) + 1 - place if back else place) - b
+                ok = off == 0 if a == 0 else off % a == 0 and off // a >= 0
         if not ok:
             return False
     return True
 
 
+def _around(e: Element, how: str) -> Iterator[Element]:
+    """Elements that a relative selector of ``e`` may end at: below it, or below it and its later siblings."""
+    yield from e.walk()
+    if how in "+~" and e.parent is not None:
+        beside = e.parent.elements()
+        for s in beside[next(i for i, x in enumerate(beside) if x is e) + 1 :]:
+            yield s
+            yield from s.walk()
+
+
+def _relative(selector: str) -> list[tuple[str, list[tuple]]]:
+    m = re.match(r"\s*([>+~])?\s*", selector)
+    chain = _compile(selector[m.end() :])
+    return [("", [("scope",)]), (m[1] or " ", chain[0][1]), *chain[1:]]
+
+
 def _compile(selector: str) -> list[tuple[str, list[tuple]]]:
     """Compounds with the combinator before each."""
     chain: list[tuple[str, list[tuple]]] = [("", [])]
@@ -178,34 +244,42 @@ def _compile(selector: str) -> list[tuple[str, list[tuple]]]:
             tests.append(("cls", plain(m["cls"])))
         elif m["attr"]:
             tests.append(("attr", m["attr"].lower(), m["op"], next((m[k] for k in ("dq", "sq", "bare") if m[k] is not None), "")))
-        elif m["nth"]:
-            tests.append(("nth", m["nth"].endswith("type"), int(m["n"]), False))
+        elif m["fn"]:
+            found = _split(text[at:], ")")
+            if not found:
+                raise UnsupportedSelector(f"a parenthesis stays open in {text!r}")
+            at += len(found[0]) + 1
+            if m["fn"].startswith("nth"):
+                tests.append(("nth", m["fn"].endswith("type"), *_step(found[0]), "last" in m["fn"]))
+            else:
+                tests.append(("is" if m["fn"] == "where" else m["fn"], [(_relative if m["fn"] == "has" else _compile)(x) for x in _split(found[0])]))
         else:
             edge = m["edge"]
-            tests.append(("only", False, 1, False) if edge == "only-child" else ("nth", edge.endswith("type"), 1, edge.startswith("last")))
+            typed = edge.endswith("type")
+            tests.append((edge,) if edge in ("empty", "root") else ("only", typed, 0, 1, False) if edge.startswith("only") else ("nth", typed, 0, 1, edge.startswith("last")))
     if not chain[-1][1]:
         raise UnsupportedSelector(f"an incomplete selector: {text!r}")
     return chain
 
 
-def _fits(e: Element, chain: list[tuple[str, list[tuple]]], last: int) -> bool:
-    if not e.tag or not _compound(e, chain[last][1]):
+def _fits(e: Element, chain: list[tuple[str, list[tuple]]], last: int, scope: Element | None = None) -> bool:
+    if not e.tag or not _compound(e, chain[last][1], scope):
         return False
     if last == 0:
         return True
     how = chain[last][0]
     if how == ">":
-        return e.parent is not None and _fits(e.parent, chain, last - 1)
+        return e.parent is not None and _fits(e.parent, chain, last - 1, scope)
     if how == " ":
-        return any(_fits(a, chain, last - 1) for a in e.ancestors())
+        return any(_fits(a, chain, last - 1, scope) for a in e.ancestors())
     before = e.parent.elements() if e.parent else []
     before = before[: next((i for i, s in enumerate(before) if s is e), 0)]
-    return any(_fits(s, chain, last - 1) for s in (before[-1:] if how == "+" else before))
+    return any(_fits(s, chain, last - 1, scope) for s in (before[-1:] if how == "+" else before))
 
 
 def select(root: Element, selector: str) -> list[Element]:
     """Elements that the selector list fits, in document order."""
-    chains = [_compile(s) for s in re.split(r",(?![^\[]*\])", selector)]
+    chains = [_compile(s) for s in _split(selector)]
     return [e for e in root.walk() if any(_fits(e, c, len(c) - 1) for c in chains)]
 
 

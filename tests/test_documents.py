@@ -34,7 +34,7 @@ def test_css(selector, texts):
 
 def test_css_outside_of_the_subset():
     with pytest.raises(markup.UnsupportedSelector):
-        markup.select(markup.parse("<p>"), "p:has(b)")
+        markup.select(markup.parse("<p>"), "p:hover")
 
 
 @pytest.mark.parametrize(("body", "kind"), [(PAGE, "html"), ("<!-- c --> <p>x", "html"), ("text <body", "html"), ("# h\nx", "markdown"), (WIKI, "wikitext"), ("see [[x]]", "wikitext"), ("plain", "plain-text"), ("", "plain-text")])
@@ -153,3 +153,21 @@ def test_diagnosis_of_a_long_document_is_quick():
     began = time.time()
     assert diagnosis.closest(" ".join(source.split()[4000:4800]) + " more", source) is not None
     assert time.time() - began < 3
+
+
+@pytest.mark.parametrize(
+    ("selector", "want"),
+    [
+        ("p:not(.x)", ["2", "z"]), ("li:nth-child(2n+1)", ["i", "iii"]), ("li:nth-child(odd)", ["i", "iii"]), ("li:nth-last-child(1)", ["iv"]), ("div:has(> ul .y) > p", ["1", "2"]), ("p:has(+ p)", ["1"]), ("p:has(~ ul li)", ["1", "2"]),
+        ("p:has(p)", []), (":is(.x, .y)", ["1", "ii"]), ("li:not(:first-child):not(.y)", ["iii", "iv"]), ("li:nth-child(-n+2)", ["i", "ii"]), ("p:not(.x, :nth-of-type(2))", ["z"]), ("b:empty", [""]), ("p[class='x, y'], li.y", ["ii"]), (":where(b, li):nth-child(even)", ["ii", "iv", ""]), ("ul:only-of-type", ["i\nii\niii\niv"]),
+    ],
+)
+def test_selectors_with_functions(selector, want):
+    tree = markup.parse("<div id='a'><p class='x'>1</p><p>2</p><ul><li>i</li><li class='y'>ii</li><li>iii</li><li>iv</li></ul><b></b></div><p>z</p>")
+    assert [markup.text_of(e).strip() for e in markup.select(tree, selector)] == want
+
+
+@pytest.mark.parametrize("selector", ["p:hover", "p:not(", "li:nth-child(x)", "> p", "p:is()", "::before"])
+def test_unknown_selectors_are_errors(selector):
+    with pytest.raises(markup.UnsupportedSelector):
+        markup.select(markup.parse("<p>x</p>"), selector)
