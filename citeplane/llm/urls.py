@@ -88,8 +88,8 @@ def _weight(rows: DataFrame, key: str) -> float:
 
     ``rows`` are children with their own counts (n, bad) and their parent's (pn, pb).
     """
-    p, m = F.col("bad") / F.col("n"), F.col("pb") / F.col("pn")
-    x = rows.where("n > 0").agg(F.count("*").alias("k"), F.countDistinct(key).alias("g"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") / F.col("pn")).alias("nn"), F.sum(F.col("n") * (p - m) * (p - m)).alias("between"), F.sum(F.col("n") * p * (1 - p)).alias("within")).first()
+    p, m = F.try_divide("bad", "n"), F.try_divide("pb", "pn")
+    x = rows.where("n > 0").agg(F.count("*").alias("k"), F.countDistinct(key).alias("g"), F.sum("n").alias("n"), F.sum(F.try_divide(F.col("n") * F.col("n"), F.col("pn"))).alias("nn"), F.sum(F.col("n") * (p - m) * (p - m)).alias("between"), F.sum(F.col("n") * p * (1 - p)).alias("within")).first()
     if not x["k"] or x["k"] <= x["g"] or x["n"] <= x["k"]:
         return 1000.0 if x["k"] else 1.0
     msb, msw, size = x["between"] / (x["k"] - x["g"]), x["within"] / (x["n"] - x["k"]), (x["n"] - x["nn"]) / (x["k"] - x["g"])
