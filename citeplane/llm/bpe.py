@@ -18,6 +18,7 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
+from os.path import commonprefix
 
 import pyarrow as pa
 import regex
@@ -76,12 +77,32 @@ class PairTree:
             node[i] = low
 
 
+#: What a file may declare besides its vocabulary: the steps that ``WordBpe`` takes.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
 class WordBpe:
-    """Encoder and decoder of a word-end BPE vocabulary in the tokenizers library's JSON form."""
+    """Encoder and decoder of a word-end BPE vocabulary in the tokenizers library's JSON form.
+
+    A file whose normalizer, pre-tokenizer, decoder, model options or added tokens ask for anything else is refused.
+    """
 
     def __init__(self, raw: bytes):
         spec = json.loads(raw)
         model = spec["model"]
+        for what, own, wanted in (
+            ("normalizer", (spec.get("normalizer") or {}).get("normalizers"), NORMALIZERS),
+            ("pre-tokenizer", (spec.get("pre_tokenizer") or {}).get("pretokenizers"), PRE_TOKENIZERS),
+            ("decoder", spec.get("decoder"), None),
+            ("model", [model.get("type")] + [model.get(k) or None for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")], ["BPE"] + [None] * 6),
+            ("added tokens", [x["content"] for x in spec["added_tokens"] if x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]], []),
+        ):
+            if own != wanted:
+                raise ValueError(f"this vocabulary file declares another {what} than this encoder has: {own}")
         vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.first: list[int | None] = [vocab.get(c) for c in byte_letters()]
@@ -94,6 +115,8 @@ class WordBpe:
         names = {i: s for s, i in vocab.items()} | {i: s for s, i in added.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.added = added
+        #: What all added tokens begin with: a text without it needs no search for them.
+        self.sign = commonprefix(list(added))
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
         #: Ids of pre-tokens, as machine words.
         self.memo = common.Memo(lambda word: self.merge(word.encode()).tobytes())
@@ -136,7 +159,7 @@ class WordBpe:
 
     def encode(self, text: str) -> array:
         out = bytearray()
-        for part in self.cut.split(text) if self.cut and "<|" in text else (text,):
+        for part in self.cut.split(text) if self.cut and self.sign in text else (text,):
             if part in self.added:
                 out += array("I", [self.added[part]]).tobytes()
                 continue
