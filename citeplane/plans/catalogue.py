@@ -432,20 +432,23 @@ def _page_quotes(spark, sf_dir) -> DataFrame:
     return pages.select("page_id", F.col("html").alias("body"), first.alias("quote"))
 
 
-@_query()
+@_query(rf"""with p as (select page_id, regexp_extract(html, '(?s)</h1>\s*<p>(?:<b>)?([^<&]{{30,80}})', 1) as quote, trim(regexp_replace({_ENTITIES.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}, '\s+', ' ', 'g')) as title from pages)
+select page_id, case when quote <> '' then 'section' end as format, case when quote <> '' then case when contains(title, ',') then chr(39) || title || chr(39) else title end end as locator, case when quote <> '' then 'section' else 'none' end as found_by, 0::bigint as ambiguous from p""")
 def locate_selector(spark, sf_dir):
     """A target that leads back to the beginning of each page's first paragraph."""
     found = locate.locate(_page_quotes(spark, sf_dir), ["page_id"])
     return found.select("page_id", "format", "locator", "found_by", _long(F.col("ambiguous")).alias("ambiguous"))
 
 
-@_query()
+@_query(rf"""with p as (select page_id, regexp_extract(html, '(?s)<li>(.*?)</li>', 1) as li, trim(regexp_replace({_ENTITIES.format("regexp_replace(regexp_extract(html, '(?s)<li>(.*?)</li>', 1), '<[^>]+>', '', 'g')")}, '\s+', ' ', 'g')) as text from pages)
+select page_id, case when li = '' then 'no_section' else 'ok' end as status, length(text)::int as n_chars from p""")
 def section_extract(spark, sf_dir):
     """The first paragraph of each page's first section, by a section selector."""
     return _pages_extracted(spark, sf_dir, "section", "paragraph 1").select("page_id", "status", F.length("text").alias("n_chars"))
 
 
-@_query()
+@_query(rf"""with b as (select item_id, {_NORM.format("text")} as source, regexp_matches(text, '^\S+ ') as more, len(string_split({_NORM.format("text")}, ' ')) as n from benchmark)
+select item_id, source as source_text, case when more then 2.0::double * n / (2 * n + 1) else 1.0 end as ratio, '' as kind, case when more then 'indeed' else '' end as missing, '' as extra from b""")
 def closest_match(spark, sf_dir):
     """Why a benchmark quote with a word more isn't found in its own text."""
     rows = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text"), F.regexp_replace("text", r"\A(\S+) ", "$1 indeed ").alias("quote"), F.lit("").alias("where"))
