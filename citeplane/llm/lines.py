@@ -9,7 +9,7 @@ they meet by the hash of the whole run, and runs of fewer words are left out bef
 
 Lines count without the white space at their ends; blank lines are no part of a run, and those between two deleted
 lines go with them. Defined results: a null text stays null and counts as empty; a document may lose all its lines and
-then stays with an empty text; rows that repeat a document with the same text are one document, of which each row loses
+then stays with an empty text; rows that repeat a document with the same text are one document (rows without a doc_id too, if they share a text), of which each row loses
 the same lines; a null doc_id comes first in the order; texts are read whole; an empty table gives no rows.
 """
 
