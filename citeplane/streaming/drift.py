@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from citeplane.functions import urls
 from citeplane.operators.verify import Citations, Options, Report, World, check
+from citeplane.scratch import scope
 
 
 def versions(fetched: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -37,13 +38,14 @@ def changes(seen: DataFrame) -> DataFrame:
 
 
 def reverify(fetched: DataFrame, citations: Citations, sink: Callable[[Report, int], None], checkpoint: str, options: Options = Options(), delay: str = "1 hour"):  # noqa: B008
-    """Starts a query that checks, in each micro-batch, the citations of the documents in it, and hands on the report."""
+    """Starts a query that checks, in each micro-batch, the citations of the documents in it, and hands on the report, to be used there and then."""
 
     def each(batch: DataFrame, number: int) -> None:
         latest = batch.groupBy("doc_url").agg(F.max_by("body", "ts").alias("body")).select(F.col("doc_url").alias("url"), "body").persist()
         named = citations.sources.join(latest.select(F.col("url").alias("__u")), urls.document_url(F.col("url")) == F.col("__u"), "left_semi")
         touched = Citations(citations.sources, citations.fragments.join(named.select("source_id"), "source_id", "left_semi"), None, citations.cite_sites)
-        sink(check(touched, World(latest), options), number)
+        with scope():  # what a batch has written goes when its report is used, however long the stream runs
+            sink(check(touched, World(latest), options), number)
         latest.unpersist()
 
     return versions(fetched, delay).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
