@@ -300,10 +300,12 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text_col: str = "tex
     heads = common.materialize(heads)
     big = common.materialize(heads.groupBy("h").count().where(F.col("count") > group).select(F.col("h").alias("bh")))
     heads = heads.join(big, F.col("h") == F.col("bh"), "left").withColumn("big", F.col("bh").isNotNull()).drop("bh")
-    contexts = common.materialize(in_context(texts, heads, passage))
+    contexts, large = in_context(texts, heads, passage), not big.isEmpty()
+    if large:  # else one pass reads them, and they aren't written
+        contexts = common.materialize(contexts)
     spans = places.select("k", "th", F.col("first").alias("start"), (F.col("last") + passage).alias("end"))
     spans = spans.unionByName(extend(contexts.where("not big"), passage, gram, group))
-    if not big.isEmpty():
+    if large:
         spans = spans.unionByName(extend_large(contexts.where("big"), passage))
     return merged(spans)
 

@@ -84,6 +84,18 @@ def test_sorted_suffixes_over_any_partitions_and_groups(spark, partitions, group
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+@pytest.mark.parametrize(("group", "written"), [(4000, 0), (0, 1)])
+def test_contexts_are_written_only_if_two_passes_read_them(spark, monkeypatch, group, written):
+    r = random.Random(5)
+    data = [(i, " ".join(r.choice("abc") for _ in range(30))) for i in range(40)]
+    tables, write = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df: (tables.append(df.columns), write(df))[1])
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    found = {x["k"]: {p for s in x["spans"] for p in range(s["start"], s["end"])} for x in suffixes.repeated_passages(df, passage=7, gram=3, group=group).collect()}
+    assert found == {d: v for (d, _), v in brute_passages(data, 7, str.split).items()}
+    assert sum("words" in columns for columns in tables) == written
+
+
 def test_minimiser_rows_tile_the_windows():
     x = np.random.default_rng(1).integers(0, 4, 500).astype(np.uint64)
     _, _, m, first, last = repeats.minimisers(x, 20, 6)
