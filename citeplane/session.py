@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -34,3 +34,12 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(archive)
         _SHIPPED.add(app)
     return spark
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` over enough tasks for all cores: rows that take long in Python may be few bytes, and a small file is one task.
+
+    The number is given, so that tasks aren't put together again for being small. Rows equal in ``by`` stay together.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *by)
