@@ -18,6 +18,12 @@ def documents(spark, n: int, repo: str, body: str) -> DataFrame:
     return spark.range(0, n, 1, 1).select(F.col("id").cast("string").alias("doc_key"), F.lit(repo).alias("repo"), F.lit("").alias("location"), F.lit(body).alias("body"), none.alias("miss"), none.alias("miss_reason"))
 
 
+def test_chapters_are_dealt_out(spark):
+    page = "<p>" + "before it all and so on " * 3 + "</p><h2>Book I</h2><p>" + "all that it says " * 5 + "</p>"
+    got = payloads.gutenberg_files(spark.range(0, 100, 1, 1).select(F.col("id").cast("string").alias("key"), F.lit(page).alias("html")))
+    assert tasks(got) >= 4 and got.count() == 200 and {r["title"] for r in got.collect()} == {"Preamble", "Book I"}
+
+
 def test_rendering_is_dealt_out(spark):
     page = "<pre><span class='h2'><a class='selflink' id='section-1'>1</a>. A</span>\n  text</pre>"
     got = payloads.rendered(documents(spark, 100, "rfc", page))
