@@ -7,10 +7,14 @@ from dataclasses import asdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from citeplane.operators import content, diagnosis, outline
 from citeplane.operators.outline import squeeze
+from citeplane.session import dealt
 
+#: Quotes of one document that one task looks for; a document with more is dealt out in lots of about so many.
+LOT = 1000
 LOCATED = "format string, locator string, matched_text string, found_by string, ambiguous int, hint struct<source_text:string,ratio:double,kind:string,missing:array<string>,extra:array<string>,where:string,percent:int>"
 _HINT = pa.struct([("source_text", pa.string()), ("ratio", pa.float64()), ("kind", pa.string()), ("missing", pa.list_(pa.string())), ("extra", pa.list_(pa.string())), ("where", pa.string()), ("percent", pa.int32())])
 
@@ -36,6 +40,15 @@ def find(doc: content.Document, quote: str, kind: str | None = None) -> dict:
     return found | {"hint": hint_of(diagnosis.closest(quote, text))}
 
 
+def _by_document(rows: DataFrame, body: str, quote: str) -> DataFrame:
+    """``rows`` dealt out so that quotes of one document meet, which is parsed once for those that come in a row."""
+    rows = rows.withColumn("__h", F.xxhash64(body))
+    many = rows.groupBy(F.col("__h").alias("__d")).agg(F.count("*").alias("__n")).where(F.col("__n") > LOT)
+    rows = rows.join(F.broadcast(many), F.col("__h") == F.col("__d"), "left")
+    rows = rows.withColumn("__lot", F.pmod(F.xxhash64(quote), F.ceil(F.coalesce("__n", F.lit(1)) / LOT))).drop("__d", "__n")
+    return dealt(rows, "__h", "__lot")
+
+
 def locate(pairs: DataFrame, id_cols: list[str], body: str = "body", quote: str = "quote", kind: str | None = None, formats: tuple[content.Format, ...] = ()) -> DataFrame:
     """``id_cols`` and where each row's quote stands in its body; null bodies and quotes are empty."""
     rows = pairs.select(*id_cols, body, quote)
@@ -52,7 +65,7 @@ def locate(pairs: DataFrame, id_cols: list[str], body: str = "body", quote: str
                 out.append(find(last[1], q or "", kind))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(id_cols)], *(pa.array([o[n] for o in out], t) for n, t in made)], names=[*id_cols, *(n for n, _ in made)])
 
-    return rows.mapInArrow(run, f"{heads}, {LOCATED}")
+    return _by_document(rows, body, quote).mapInArrow(run, f"{heads}, {LOCATED}")
 
 
 def diagnose(rows: DataFrame, id_cols: list[str], quote: str = "quote", text: str = "text", where: str = "where") -> DataFrame:

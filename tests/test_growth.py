@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeplane.operators import locate
+from citeplane.operators.outline import squeeze
 from citeplane.sources import payloads
 
 
@@ -24,6 +28,23 @@ def test_chapters_are_dealt_out(spark):
     assert tasks(got) >= 4 and got.count() == 200 and {r["title"] for r in got.collect()} == {"Preamble", "Book I"}
 
 
+def test_location_is_dealt_out(spark, monkeypatch):
+    rows = spark.range(0, 100, 1, 1).select("id", F.concat(F.lit("# A\n\nthis is what it says "), "id").alias("body"), F.concat(F.lit("what it says "), "id").alias("quote"))
+    got = locate.locate(rows, ["id"])
+    assert got.count() == 100 and {r["locator"] for r in got.collect()} == {"A"} and tasks(got) >= 4
+    # Quotes of one document meet in one task, unless they are very many.
+    same = rows.withColumn("body", F.lit("# A\n\n" + ", ".join(f"what it says {i}" for i in range(100))))
+    assert tasks(locate.locate(same, ["id"])) == 1
+    monkeypatch.setattr(locate, "LOT", 10)
+    got = locate.locate(same, ["id"])
+    assert tasks(got) > 1 and got.where("found_by = 'section'").count() == 100
+
+
+def test_white_space_is_squeezed_as_before():
+    every = "".join(f"{chr(c)}x{chr(c)}{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    assert squeeze(every) == re.sub(r"\s+", " ", every).strip()
+
+
 def test_rendering_is_dealt_out(spark):
     page = "<pre><span class='h2'><a class='selflink' id='section-1'>1</a>. A</span>\n  text</pre>"
     got = payloads.rendered(documents(spark, 100, "rfc", page))
