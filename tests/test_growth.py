@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeplane.operators import locate
+from citeplane.operators import diagnosis, extract, locate, verify
 from citeplane.operators.outline import squeeze
 from citeplane.sources import payloads
 
@@ -45,6 +47,36 @@ def test_white_space_is_squeezed_as_before():
     assert squeeze(every) == re.sub(r"\s+", " ", every).strip()
 
 
+def test_failures_are_dealt_out(spark):
+    rows = spark.range(0, 100, 1, 1).select(F.lit("c").alias("check"), F.col("id").cast("string").alias("urn"), F.lit("one two three fower").alias("quote"), F.lit("one two three four").alias("text"), F.lit("").alias("where"))
+    # Small tasks aren't put together, as they were when failures were dealt by their urn alone.
+    got = verify._explained(rows)
+    assert tasks(got) > 4 and {r["hint"]["ratio"] for r in got.collect()} == {6 / 7}
+
+
+def test_texts_are_written_for_hints_only(spark):
+    rows = spark.createDataFrame([("a", verify.NOT_FOUND), ("b", None), ("c", "no snippet")], "text string, fail string")
+    assert [r["text"] for r in verify._for_hints(rows, "fail").orderBy("fail").collect()].count("a") == 1 and verify._for_hints(rows, "fail").where("text is not null").count() == 1
+
+
+def test_outcomes_carry_the_stamp(spark):
+    none = F.lit(None).cast("string")
+    docs = extract.stamped(spark.range(3).select(F.col("id").cast("string").alias("doc_key"), F.lit("text of it").alias("body"), none.alias("miss"), none.alias("miss_reason")))
+    targets = spark.range(4).select(F.col("id").cast("string").alias("doc_key"), F.lit("").alias("format"), none.alias("locator"), F.lit("").alias("anchor"), F.lit("u").alias("url"))
+    got = {r["doc_key"]: r["stamp"] for r in extract.extract(targets, docs).collect()}
+    assert got == {r["doc_key"]: r["stamp"] for r in docs.collect()} | {"3": None}
+
+
+@pytest.mark.parametrize(("quote", "source", "want"), [("a b c d", "x a b c d y", ("a b c d", 1.0)), ("a a b c", "x " * 30 + "a b c a y", ("a b c", 6 / 7)), ("a b", "", None), ("a b c d", "x y z", None)])
+def test_closest_passage(quote, source, want):
+    q, keys = quote.split(), source.split()
+    for n, at in diagnosis._shared(q, keys, 1):
+        scan = SequenceMatcher(None, keys[at : at + len(q)], q, autojunk=False)
+        assert -n * 2 / max(1, len(q) + len(keys[at : at + len(q)])) == scan.quick_ratio()
+    found = diagnosis._best(q, keys)
+    assert (found and (" ".join(keys[found[0] : found[1]]), found[2])) == want
+
+
 def test_rendering_is_dealt_out(spark):
     page = "<pre><span class='h2'><a class='selflink' id='section-1'>1</a>. A</span>\n  text</pre>"
     got = payloads.rendered(documents(spark, 100, "rfc", page))
