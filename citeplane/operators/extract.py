@@ -30,23 +30,26 @@ def lots(targets: DataFrame) -> DataFrame:
 
 def extract(targets: DataFrame, documents: DataFrame, formats: tuple[content.Format, ...] = ()) -> DataFrame:
     """Outcomes (doc_key, format, locator, anchor, text, status, reason) of ``targets`` (with url) in ``documents``
-    (doc_key, body, miss): ``miss`` is a status and ``miss_reason`` a reason where the document isn't to be had."""
-    schema = T.StructType([*(T.StructField(k, T.StringType()) for k in KEYS), *(T.StructField(k, T.StringType()) for k in ("text", "status", "reason"))])
+    (doc_key, body, miss): ``miss`` is a status and ``miss_reason`` a reason where the document isn't to be had.
+    Where documents have a ``stamp``, outcomes have it, so that texts needn't meet their documents once more."""
+    stamp = ("stamp",) if "stamp" in documents.columns else ()
+    names = (*KEYS, "text", "status", "reason", *stamp)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     wanted = lots(targets)
-    rows = wanted.join(documents.withColumnRenamed("doc_key", "__d"), F.col("doc_key") == F.col("__d"), "left").select("doc_key", "body", "miss", "miss_reason", "targets")
+    rows = wanted.join(documents.withColumnRenamed("doc_key", "__d"), F.col("doc_key") == F.col("__d"), "left").select("doc_key", "body", "miss", "miss_reason", "targets", *stamp)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[dict] = []
-            for key, body, miss, why, listed in zip(*(c.to_pylist() for c in batch.columns)):
+            out: list[tuple] = []
+            for key, body, miss, why, listed, *rest in zip(*(c.to_pylist() for c in batch.columns)):
                 doc = content.Document(body, formats) if body else None  # one tree at a time: the one before it is let go
                 for t in listed:
                     if miss:
                         got = content.Outcome("", miss, why or "")
                     else:
                         got = content.load(doc, t["url"], t["format"], t["locator"], t["anchor"])
-                    out.append({"doc_key": key, "format": t["format"], "locator": t["locator"], "anchor": t["anchor"], "text": squeeze(got.text), "status": got.status, "reason": got.reason})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([(f.name, pa.string()) for f in schema.fields]))
+                    out.append((key, t["format"], t["locator"], t["anchor"], squeeze(got.text), got.status, got.reason, *rest))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(len(names))], names=[*names])
 
     return rows.mapInArrow(run, schema)
 
@@ -60,8 +63,8 @@ def extract_new(targets: DataFrame, documents: DataFrame, known: DataFrame | Non
     """Outcomes as ``extract`` gives them, with ``stamp``; those that ``known``, outcomes of a run before, has for the
     same target and the same document are taken from there, and only the rest is parsed."""
     documents = materialize(stamped(documents))
-    stamps = documents.groupBy(F.col("doc_key").alias("__d")).agg(F.min("stamp").alias("stamp"))
     if known is not None:
+        stamps = documents.groupBy(F.col("doc_key").alias("__d")).agg(F.min("stamp").alias("stamp"))
         each = materialize(targets.groupBy(*KEYS).agg(F.min("url").alias("url")).join(materialize(stamps), F.col("doc_key") == F.col("__d"), "left").drop("__d"))
         had = known.select(*(F.col(k).alias(f"__{k}") for k in KEYS), "text", "status", "reason", F.col("stamp").alias("__s")).dropDuplicates([f"__{k}" for k in KEYS])
         same = (F.col("doc_key") == F.col("__doc_key")) & (F.col("stamp") == F.col("__s"))
@@ -71,6 +74,5 @@ def extract_new(targets: DataFrame, documents: DataFrame, known: DataFrame | Non
         targets = each.join(had, same, "left_anti").select(*KEYS, "url")
         # Only documents that something new is asked of are read again.
         documents = documents.join(targets.select(F.col("doc_key").alias("__k")).distinct(), F.col("doc_key") == F.col("__k"), "left_semi")
-    got = extract(targets, documents.drop("stamp"), formats)
-    got = got.join(stamps, F.col("doc_key") == F.col("__d"), "left").drop("__d")
+    got = extract(targets, documents, formats)
     return got if known is None else got.unionByName(kept)
