@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from io import StringIO
 from typing import TextIO
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -76,6 +77,38 @@ def as_json(report: Report) -> dict:
     return json.loads(out.getvalue())
 
 
+def _shown(r: Row) -> Iterator[str]:
+    """Lines of one finding."""
+    yield f"           {r['label']}: {r['reason']}"
+    if h := r["hint"]:
+        yield from ("             " + x for x in diagnosis.render(diagnosis.Finding(h["source_text"], h["ratio"], h["kind"] or "", h["where"] or "", h["extra"], h["missing"])))
+    yield from ("             cited by " + (s["file"] if s["line"] is None else f"{s['file']}:{s['line']}") for s in r["cited_by"])
+
+
+def text_rows(report: Report) -> DataFrame:
+    """(value) the checks, groups and findings of the rendered report in its order, made in the cluster: write it with ``.write.text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shown = ["\n".join(_shown(r)) for r in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shown, pa.string())], names=[*batch.schema.names[:-1], "value"])
+
+    group = ["check", "severity", "source", "url"]
+    rows = report.findings
+    first = F.min_by("label", F.struct("ord", "url"))
+    size = materialize(rows.groupBy(*group).agg(F.count("*").alias("group"), first.alias("label")))
+    rows = rows.join(size.select(*(F.col(c).alias(f"__{c}") for c in group), "group"), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group])
+    keys = ["check", "severity", "group", "source", "url"]
+    found = rows.select(*keys, F.lit(1).alias("place"), "ord", F.struct("label", "reason", "hint", "cited_by").alias("x"))
+    found = found.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields[:-1]) + ", value string")
+    where = F.when((F.col("url") != "") & ~F.col("label").eqNullSafe(F.col("url")), F.concat(F.lit(" ("), "url", F.lit(")"))).otherwise("")
+    heads = size.select(*keys, F.lit(0).alias("place"), F.lit("").alias("ord"), F.concat(F.lit("         "), "source", where, F.lit(" ("), F.col("group").cast("string"), F.lit(")")).alias("value"))
+    checks = report.checks.select("name", F.col("ord").alias("__o"), F.concat(F.lit("\n  ["), "status", F.lit("] "), F.rpad("name", 40, "."), F.lit(" "), F.col("ok").cast("string"), F.lit("/"), F.col("total").cast("string")).alias("value"))
+    below = heads.unionByName(found).join(F.broadcast(checks.select("name", "__o")), F.col("check") == F.col("name")).drop("name")
+    tops = checks.select("__o", *(F.lit(None).cast(below.schema[c].dataType).alias(c) for c in [*keys, "place", "ord"]), "value")
+    return tops.unionByName(below.select(*tops.columns)).orderBy("__o", F.asc_nulls_first("severity"), F.desc("group"), "source", "url", "place", "ord").select("value")
+
+
 def text_lines(report: Report, brief: bool = False, title: str = "Citation verification") -> Iterator[str]:
     rule = "=" * WIDTH
     yield from (rule, f"  {title}", rule)
@@ -89,10 +122,7 @@ def text_lines(report: Report, brief: bool = False, title: str = "Citation verif
                 group = own
                 where = f" ({row['url']})" if row["url"] and row["label"] != row["url"] else ""
                 yield f"         {row['source']}{where} ({row['group']})"
-            yield f"           {row['label']}: {row['reason']}"
-            if h := row["hint"]:
-                yield from ("             " + x for x in diagnosis.render(diagnosis.Finding(h["source_text"], h["ratio"], h["kind"] or "", h["where"] or "", h["extra"], h["missing"])))
-            yield from ("             cited by " + (s["file"] if s["line"] is None else f"{s['file']}:{s['line']}") for s in row["cited_by"])
+            yield from _shown(row)
             row = next(rows, None)
     s = summary(report.checks).first()
     yield from (f"\n  {rule}", f"  Summary: {s['pass']} PASS, {s['fail']} FAIL, {s['warn']} WARN")

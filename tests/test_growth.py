@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeplane import report
 from citeplane.operators import diagnosis, extract, locate, verify
 from citeplane.operators.outline import squeeze
 from citeplane.sources import payloads
@@ -81,3 +82,11 @@ def test_rendering_is_dealt_out(spark):
     page = "<pre><span class='h2'><a class='selflink' id='section-1'>1</a>. A</span>\n  text</pre>"
     got = payloads.rendered(documents(spark, 100, "rfc", page))
     assert tasks(got) >= 4 and got.distinct().count() == 100 and {r["body"] for r in got.collect()} == {payloads.rfc(page)}
+
+
+def test_report_in_the_cluster_is_the_one_for_a_reader(spark):
+    from citeplane.plans import derived
+
+    got = derived._terms_run(spark, "/root/testdata/sf0.001")
+    text = "\n".join(r["value"] for r in report.text_rows(got).collect())
+    assert text in report.as_text(got) and text.count("           term ") > 1
